@@ -28,7 +28,7 @@ from tessera.llm.quality import bounded_labels, crc_mod
 from tessera.llm.store import broadcast, table
 from tessera.llm.words import Words, chunks, utf8, words_of
 
-MAX_CHAIN, SLOTS = 64, 1 << 16
+MAX_CHAIN, SLOTS, FEATURES = 64, 1 << 16, 4
 EDGE = b".,;:!?\"'()[]*#$%&-"
 
 
@@ -37,12 +37,12 @@ def core(word: bytes) -> bytes:
 
 
 def feature_slots(vocab: list[bytes]) -> np.ndarray:
-    """Three hashed features of each distinct word: itself, its first and its last three bytes."""
+    """Hashed features of each distinct word: itself, its first four and five bytes, its last three bytes."""
     h = xxhash.xxh32_intdigest
-    out = np.empty((len(vocab), 3), np.int64)
+    out = np.empty((len(vocab), FEATURES), np.int64)
     for i, word in enumerate(vocab):
         c = core(word)
-        out[i] = h(c, 1) % SLOTS, SLOTS + h(c[:3], 2) % SLOTS, 2 * SLOTS + h(c[-3:], 3) % SLOTS
+        out[i] = h(c, 1) % SLOTS, SLOTS + h(c[:4], 2) % SLOTS, 2 * SLOTS + h(c[:5], 4) % SLOTS, 3 * SLOTS + h(c[-3:], 3) % SLOTS
     return out
 
 
@@ -107,7 +107,7 @@ def marginals(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple[
 
 @dataclass
 class Crf:
-    weights: np.ndarray  # of 3 * SLOTS features and a bias
+    weights: np.ndarray  # of FEATURES * SLOTS features and a bias
     moves: np.ndarray
     calibration: np.ndarray  # of 1, max marginal, log(1 + sum of marginals)
     constant: float | None = None
@@ -134,7 +134,7 @@ def document_features(w: Words, p: np.ndarray) -> np.ndarray:
 
 def fit_crf(texts: list[str | None], labels: np.ndarray, base_rate: float, steps: int = 60, share: float = 0.02, seed: int = 3) -> Crf:
     """texts: the sample; base_rate: the share of label 1 among all labelled rows."""
-    none = Crf(np.zeros(3 * SLOTS + 1), np.zeros((2, 2)), np.zeros(3))
+    none = Crf(np.zeros(FEATURES * SLOTS + 1), np.zeros((2, 2)), np.zeros(3))
     if len(set(labels.tolist())) < 2:
         none.constant = float((labels.sum() + 1) / (len(labels) + 2))
         return none
@@ -169,7 +169,7 @@ def fit_crf(texts: list[str | None], labels: np.ndarray, base_rate: float, steps
     for step in range(1, steps + 1):  # Adam on the exact gradient: observed minus expected counts
         p, moved, _ = marginals(none.weights[slots].sum(1) + none.weights[-1], starts, none.moves)
         err = p - y
-        grad = np.concatenate([np.bincount(flat, np.repeat(err, 3), len(none.weights)), (moved - observed).ravel()])
+        grad = np.concatenate([np.bincount(flat, np.repeat(err, FEATURES), len(none.weights)), (moved - observed).ravel()])
         grad[len(none.weights) - 1] = err.sum()
         grad = grad / total * 1000 + 1e-3 * np.concatenate([none.weights, none.moves.ravel()])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
