@@ -42,11 +42,11 @@ def number_of_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-int(size) // block_bytes))
 
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``block, doc_id, text``. Rows without an id are dealt by their text."""
+def in_blocks(docs: DataFrame, blocks: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``block, doc_id, text`` and the columns to carry as ``carry0`` and so on. Rows without an id are dealt by their text."""
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(17), F.col("text"))).otherwise(F.xxhash64(F.lit(17), F.col("doc_id")))
     text = F.col("text").cast("string")
-    return docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)])
 
 
 def bucket_bits(blocks: int) -> int:

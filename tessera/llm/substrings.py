@@ -24,6 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import MESSAGE, bucket_bits, in_blocks, messages, number_of_blocks, pack, received, slices
 from tessera.llm.store import table
@@ -90,11 +91,16 @@ def replies(got: list, kind: int, size: int) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, blocks: int | None = None) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` (the kept words, joined by spaces) of every row."""
+def remove_repeats(docs: DataFrame, width: int = 50, blocks: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, kept`` (the kept words, joined by spaces) of every row.
+
+    Columns named in ``carry`` come along as ``carry0`` and so on.
+    """
     blocks = blocks or number_of_blocks(docs)
     bits = bucket_bits(blocks)
-    dealt = in_blocks(docs, blocks)
+    dealt = in_blocks(docs, blocks, carry)
+    extra = [f"carry{i}" for i in range(len(carry))]
+    result = StructType([*StructType.fromDDL(RESULT).fields, *(dealt.schema[c] for c in extra)])
 
     def send_groups(key: tuple, group: pa.Table) -> pa.Table:
         names, _, _ = Suffixes(group, width).groups()
@@ -150,12 +156,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, blocks: int | None = None)
             out[0].append(int(own.sum()))
             out[1].append(hashlib.sha256(kept).hexdigest())
             out[2].append(kept.decode())
-        return pa.table({"doc_id": group["doc_id"], "n_words": pa.array(s.w.counts(), pa.int64()), "n_removed": pa.array(out[0], pa.int64()), "kept_sha256": pa.array(out[1], pa.string()), "kept": pa.array(out[2], pa.string())})
+        return pa.table({"doc_id": group["doc_id"], "n_words": pa.array(s.w.counts(), pa.int64()), "n_removed": pa.array(out[0], pa.int64()), "kept_sha256": pa.array(out[1], pa.string()), "kept": pa.array(out[2], pa.string()), **{c: group[c] for c in extra}})
 
     by_block = dealt.groupBy("block")
     first = by_block.applyInArrow(send_groups, MESSAGE).groupBy("bucket").applyInArrow(meet_groups, MESSAGE)
     second = by_block.cogroup(first.groupBy("block")).applyInArrow(send_nodes, MESSAGE).groupBy("bucket").applyInArrow(meet_nodes, MESSAGE)
-    return by_block.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(cut, RESULT)
+    return by_block.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(cut, result)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
