@@ -4,16 +4,19 @@ A document is the set of its distinct word shingles; two link where their Jaccar
 ``num / den``. The Jaccard distance is a metric. The join goes down through regions:
 
 1. Equal sets collapse to the document with the least id.
-2. The first pivots are single shingles, in one fixed order from rare to frequent. A set's distance to {s} is below 1
-   only if it holds s, so it lies in the Voronoi cell of its first shingle; by the triangle inequality a set within
-   distance e of another can lie at most n - ceil(n num / den) cells further on, and each set is replicated to
-   that window of cells. Linked sets share a cell. Cells name their least document; what they connect is a region.
+2. The pivots of the first level are parts of the shingle universe, ranges of hashes. The symmetric difference is a
+   metric and is the sum of its values in the parts; sets with the same projection on a part share a Voronoi
+   cell there. By the triangle inequality linked sets of about n shingles differ by at most n (1 - s) / s, so
+   with more parts than that they share a cell in one of them. Sizes are in classes a factor 1 / s wide, and a
+   set is replicated to its own class and the one below, whose members it can still reach. Cells name their
+   least document; what they connect is a region.
 3. Regions are joined exactly. Larger ones choose documents as pivots, compute all distances to them, file each
    set with its nearest pivot and replicate it where d(x, p) <= d(x, own) + 2e; this recurs until a region is small
    or does not shrink, and is then joined by matrix products, skipping what is connected already.
    Regions beyond ``region_docs`` are cut into blocks, and each pair of blocks is a task of its own.
 
-The order of shingles uses word counts of a bounded sample; it decides speed only, not results.
+A part that is empty in both sets says nothing. ``SLACK`` more parts than needed make up for that many; only
+sets with more empty parts meet in the cells of empty ones too.
 Shingles are 64-bit hashes. Null texts and texts without words have empty sets and link with nothing. Texts with
 fewer words than a shingle have the whole sequence as their one shingle. Rows without an id get no component;
 repeated rows share theirs. Extra columns are ignored.
@@ -29,73 +32,68 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.blocks import MESSAGE, pack, received, slices
 from tessera.llm.components import components
-from tessera.llm.store import broadcast, table, written
+from tessera.llm.store import table, written
 from tessera.llm.words import U64, chunks, hashes, mix, window_hashes, words_of
 
 SETS = "doc_id long, n long, sig_a long, sig_b long, cells binary"
 EDGE = "a long, b long"
 
 
-def shingles(texts: pa.Array, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text (sorted); the words' hashes, where texts begin, and all shingles by first word."""
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted."""
     w = words_of(texts, lower=True)
     word = hashes(w.vocab)[w.codes] if len(w.codes) else np.zeros(0, U64)
-    full = {j: window_hashes(word, j) for j in range(1, k + 1)}
+    full = {j: mix(window_hashes(word, j) + U64(j)) for j in range(1, k + 1)}
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         size = min(k, b - a)
-        out.append(np.unique(mix(full[size][a : b - size + 1] + U64(size))) if size else np.zeros(0, U64))
-    return out, word, w.first, full[k]
+        s = np.sort(full[size][a : b - size + 1]) if size else np.zeros(0, U64)
+        out.append(s[np.r_[True, s[1:] != s[:-1]]] if size else s)
+    return out
 
 
-def word_classes(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and the logarithm of their counts in at most ``sample`` documents; at most 60,000 words."""
+SLACK = 12
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w = words_of(b.column("text"), lower=True)
-            n = np.bincount(w.codes, minlength=len(w.vocab))
-            top = np.argsort(-n, kind="stable")[:60_000]
-            top = top[n[top] > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(w.vocab)[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["h", "n"])
-
-    got = docs.limit(sample).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(60_000).toArrow()
-    h, n = got["h"].to_numpy().view(U64), got["n"].to_numpy()
-    order = np.argsort(h)
-    return np.append(h[order], U64(2**64 - 1)), np.append(np.minimum(np.log2(n[order] + 1).astype(np.int64), 20), 0)
-
-
-def cell_window(texts: pa.Array, k: int, num: int, den: int, classes: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text: its set, and the cells in which linked sets can meet it."""
-    sets, word, first, full = shingles(texts, k)
-    known, level = classes
-    at = np.searchsorted(known, word)
-    rarity = np.where(known[at] == word, level[at], 0) if len(word) else np.zeros(0, np.int64)
-    run = np.append(0, np.cumsum(rarity))
-    out = []
-    for s, a, b in zip(sets, first[:-1].tolist(), first[1:].tolist(), strict=True):
-        take = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-        if b - a <= k:
-            out.append((s, s[:take]))
-            continue
-        key = mix(full[a : b - k + 1] + U64(k))
-        weight = (run[a + k : b + 1] - run[a : b - k + 1]).astype(U64)
-        ordered = np.unique(weight << U64(56) | key >> U64(8))  # rare words first, then by hash
-        out.append((s, mix(ordered[:take])))
-    return out
+
+def size_class(n: int, num: int, den: int) -> int:
+    """Classes of sizes; a set never links with one more than a class away."""
+    return int(np.log(n) / np.log(den / num * (1 + 1e-6)))
 
 
-def document_sets(docs: DataFrame, k: int, num: int, den: int, sample: int) -> DataFrame:
-    load = broadcast(docs.sparkSession, word_classes(docs.select("text"), sample))
+def parts_of(level: int, num: int, den: int) -> int:
+    """Parts for pairs whose smaller set is in this class: one more than they can differ, and the slack."""
+    top = int((den / num * (1 + 1e-6)) ** (level + 1)) + 1
+    most = int((den - num) * top / num + 1e-6)
+    return most + 1 + (SLACK if most else 0)
 
+
+def cells_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of the cells of a sorted set, for its own size class and the one below."""
+    if not len(s):
+        return s
+    level = size_class(len(s), num, den)
+    with np.errstate(over="ignore"):
+        run = np.append(U64(0), np.cumsum(mix(s ^ U64(0x2545F4914F6CDD1D)), dtype=U64))
+        out = []
+        for c in (level, level - 1):
+            if c < 0:
+                continue
+            m = parts_of(c, num, den)
+            cut = np.append(np.searchsorted(s, np.arange(m, dtype=U64) * U64((2**64 - 1) // m)), len(s))
+            key = mix(run[cut[1:]] - run[cut[:-1]] + mix(np.arange(m, dtype=U64) + U64(c << 32)))
+            full = cut[1:] > cut[:-1]
+            out.append(key[full] if m == 1 or (~full).sum() <= SLACK else key)
+        return np.concatenate(out)
+
+
+def document_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = load()
         for b in chunks(batches, "text", 4 << 20):
-            got = cell_window(b.column("text"), k, num, den, classes)
+            sets = shingles(b.column("text"), k)
             with np.errstate(over="ignore"):
-                sig = np.array([[s.sum(dtype=U64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)] for s, _ in got], U64).reshape(-1, 2)
+                sig = np.array([[s.sum(dtype=U64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)] for s in sets], U64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s, _ in got], pa.int64()), pa.array(np.ascontiguousarray(sig[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(sig[:, 1]).view(np.int64)), pa.array([c.tobytes() for _, c in got], pa.binary())],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(sig[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(sig[:, 1]).view(np.int64)), pa.array([cells_of(s, num, den).tobytes() for s in sets], pa.binary())],
                 ["doc_id", "n", "sig_a", "sig_b", "cells"],
             )
 
@@ -163,6 +161,12 @@ class RegionJoin:
     def join(self, rows: np.ndarray) -> None:
         if len(rows) < 2 or len({self.top(int(i)) for i in rows}) == 1:
             return
+        if len(rows) > 16:
+            parts = self.cells(rows)
+            if len(parts) != 1 or len(parts[0]) < len(rows):
+                for part in parts:
+                    self.join(part)
+                return
         if len(rows) <= self.LEAF:
             return self.product(rows)
         flat, ends = np.concatenate([self.sets[i] for i in rows]), np.append(0, np.cumsum(self.size[rows]))
@@ -182,6 +186,34 @@ class RegionJoin:
         else:
             self.product(rows)
 
+    def cells(self, rows: np.ndarray) -> list[np.ndarray]:
+        """The same step with single shingles as pivots, rarest in this region first: a set can meet a linked one only in the
+        cells of its first n - ceil(n s) + 1 shingles. What these cells connect, as regions of two sets at least."""
+        flat, size = np.concatenate([self.sets[i] for i in rows]), self.size[rows]
+        who = np.repeat(np.arange(len(rows)), size)
+        _, of, times = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((of, times[of], who))
+        place = np.arange(len(flat)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size)
+        reach = size - -(-self.num * size // self.den) + 1
+        pick = order[(place < reach[who]) & (times[of[order]] > 1)]
+        pick = pick[np.lexsort((who[pick], of[pick]))]
+        cell, doc = of[pick], who[pick]
+        head = np.r_[True, cell[1:] != cell[:-1]] if len(cell) else np.zeros(0, bool)
+        least = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(doc) else doc
+        label = np.arange(len(rows))
+        while True:
+            low = np.minimum(label[doc], label[least])
+            new = label.copy()
+            np.minimum.at(new, label[doc], low)
+            np.minimum.at(new, label[least], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        order = np.argsort(label, kind="stable")
+        cut = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
+        return [rows[part] for part in np.split(order, cut[1:]) if len(part) > 1]
+
     def product(self, rows: np.ndarray) -> None:
         """All pairs of the region at once: shared counts are products of 0/1 matrices, columns in pieces."""
         flat = np.concatenate([self.sets[i] for i in rows])
@@ -217,7 +249,7 @@ def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
     """Edges from each document to the least one of its component, for the regions of one task."""
     group = group.sort_by([("region", "ascending"), ("doc_id", "ascending")])
     region, ids = group["region"].to_numpy(), group["doc_id"].to_numpy()
-    sets = shingles(group["text"].combine_chunks(), k)[0]
+    sets = shingles(group["text"].combine_chunks(), k)
     edges = []
     cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
     for a, b in zip(cut, np.append(cut[1:], len(region)), strict=True):
@@ -226,18 +258,18 @@ def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sample: int = 2000, task_shingles: int = 1_500_000, region_docs: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, task_shingles: int = 1_500_000, region_docs: int = 16_384) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the last is the least id that links reach."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(document_sets(src, k, num, den, sample), "sets")
+    sets = written(document_sets(src, k, num, den), "sets")
     some = sets.where("n > 0 and doc_id is not null")
     same = ["n", "sig_a", "sig_b"]
-    firsts = some.groupBy(*same).agg(F.min(F.struct("doc_id", "cells")).alias("r")).select("n", "r.*")
-    cells = (some.agg(F.sum("n").alias("n")).first()["n"] or 0) * (den - num) // den
-    edges = components(cell_edges(firsts, max(1, int(cells // 1_000_000).bit_length())))
+    firsts = some.groupBy(*same).agg(F.min("doc_id").alias("doc_id"))
+    size = some.agg(F.sum(F.octet_length("cells")).alias("n")).first()["n"] or 0
+    edges = components(cell_edges(some, max(1, int(size // (16 << 20)).bit_length())))
     region = edges.union(edges.select("root", "root").distinct()).toDF("doc_id", "region")
     # sizes of regions, then tasks: many small regions in one, large ones in pairs of blocks
-    sized = written(region.join(some.select("doc_id", "n").dropDuplicates(["doc_id"]), "doc_id"), "regions")
+    sized = written(region.join(firsts.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "regions")
     total = sized.agg(F.sum("n").alias("n")).first()["n"] or 0
     tasks = max(1, int(total // task_shingles) + 1)
     per = sized.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
