@@ -26,6 +26,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import MESSAGE, bucket_bits, in_blocks, messages, number_of_blocks, pack, narrow, received, slices
 from tessera.llm.store import table
@@ -34,6 +35,7 @@ from tessera.llm.words import hashes, mix, words_of
 END, START = np.uint64(0xE7D5C3B1A9887766), np.uint64(0x1122334455667789)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 KATZ = 5
+KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def held_out(ids: list[int | None]) -> np.ndarray:
@@ -111,6 +113,7 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     blocks = blocks or number_of_blocks(docs)
     bits = bucket_bits(blocks)
     dealt = in_blocks(docs, blocks)
+    fields = StructType.fromDDL(RESULT)
 
     def send_words(key: tuple, group: pa.Table) -> pa.Table:
         t = Tokens(group)
@@ -189,6 +192,8 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         return messages(out)
 
     def score(key: tuple, group: pa.Table, answered: pa.Table) -> pa.Table:
+        if not group.num_rows:  # a block without documents is told the sums too
+            return pa.table({f.name: pa.array([], KINDS[f.dataType.simpleString()]) for f in fields})
         t, got = Tokens(group), received(answered)
         of_words, of_pairs = stats_told(got)
         uni, d = Unigrams(of_words), discounts(of_pairs["r"])
@@ -216,7 +221,8 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     def to_all(stats: DataFrame, kind: int, column: str, n: int) -> DataFrame:
         """The sums of a few numbers as a message to each block or bucket."""
-        one = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *[F.sum(F.col("r")[i]).alias(f"r{i}") for i in range(KATZ + 1)])
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        one = stats.agg(total("n").alias("n"), total("v").alias("v"), *[total(F.col("r")[i]).alias(f"r{i}") for i in range(KATZ + 1)])
         text = F.to_json(F.struct("n", "v", F.array(*[f"r{i}" for i in range(KATZ + 1)]).alias("r"))).cast("binary")
         other = "block" if column == "bucket" else "bucket"
         sent = one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column), F.lit(0).alias(other), F.lit(kind).alias("kind"), text.alias("payload"))
