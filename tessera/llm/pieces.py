@@ -165,6 +165,7 @@ class LockstepViterbi:
         self.model = model
         self.names = list(model.pieces)
         self.index = {p: i for i, p in enumerate(self.names)}
+        self.ids = np.array([*model.pieces.values(), model.unknown], np.int32)
         self.lone = len(self.names)  # a character that is no piece: nothing merges with it
         self.stands = np.array([len(p) == 1 or model.merged(p) == [p] for p in self.names] + [True])
         h = np.array([self.hash_of(p) for p in self.names], np.uint64)
@@ -216,14 +217,14 @@ class LockstepViterbi:
             return self.agree(a, b) if len(self.pairs) > 1 else np.zeros(len(a), bool)
         return self.verdicts[at]
 
-    def run(self, texts: list[str]) -> list[list[int]]:
+    def run(self, texts: list[str]) -> list[np.ndarray]:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-size, kind="stable")
         start = np.append(0, np.cumsum(size))[:-1][order]
         lens = size[order]
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         if not len(chars):
-            return [[] for _ in texts]
+            return [np.zeros(0, np.int32) for _ in texts]
         room = np.empty(len(chars), np.int64)
         room[:] = np.repeat(np.append(0, np.cumsum(size))[1:], size) - np.arange(len(chars))
         at = self.pieces_at(chars, room)
@@ -252,24 +253,23 @@ class LockstepViterbi:
                 got = todo[ok]
                 last[end[got]], width[end[got]] = piece[ok], k
                 todo = todo[~ok]
-        out: list[list[int]] = []
-        last_l, width_l = last.tolist(), width.tolist()
-        ends = np.cumsum(size).tolist()
-        ids = [self.model.pieces[p] for p in self.names]
-        p0 = 0
-        for text, p1 in zip(texts, ends, strict=True):
-            path, p = [], p1
-            while p > p0:
-                piece = last_l[p - 1]
-                p -= width_l[p - 1]
-                if piece == self.lone:
-                    path += reversed(self.model.ids_of(text[p - p0]))
-                else:
-                    path.append(ids[piece])
-            path.reverse()
-            out.append(path)
-            p0 = p1
-        return out
+        on = np.zeros(len(chars), bool)  # characters that end a piece of the surviving path
+        at, low = start + lens, start
+        while len(at := at[live := at > low]):
+            low = low[live]
+            on[at - 1] = True
+            at = at - width[at - 1]
+        ends = np.flatnonzero(on)
+        piece = last[ends]
+        lone = np.flatnonzero(piece == self.lone)
+        ids, many = self.ids[piece], np.ones(len(ends), np.int64)
+        spelled = [self.model.ids_of(chr(int(chars[ends[i]]))) for i in lone]
+        many[lone] = [len(x) for x in spelled]
+        flat, first = np.repeat(ids, many), np.append(0, np.cumsum(many))
+        for i, x in zip(lone.tolist(), spelled, strict=True):
+            flat[first[i] : first[i + 1]] = x
+        cut = first[np.searchsorted(ends, np.append(0, np.cumsum(size)))]
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def load_pieces(model_file: str) -> PieceModel:
@@ -290,9 +290,9 @@ def load_pieces(model_file: str) -> PieceModel:
 
 
 class TextEncoder:
-    """Ids of whole texts; remembers chunks (at most ``memory`` of them) between batches."""
+    """Ids of whole texts; remembers the first ``memory`` chunks it meets, and verdicts on pairs, between batches and tasks."""
 
-    def __init__(self, model: PieceModel, memory: int = 150_000):
+    def __init__(self, model: PieceModel, memory: int = 250_000):
         self.model, self.memory, self.known = model, memory, {}
         self.lockstep = LockstepViterbi(model) if model.kind == "bpe" else None
         self.library = None
@@ -301,10 +301,8 @@ class TextEncoder:
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=model.data)
 
-    def found(self, vocab: list[bytes]) -> list[list[int]]:
+    def found(self, vocab: list[bytes]) -> list[np.ndarray]:
         """Ids of distinct chunks."""
-        if len(self.known) >= self.memory:
-            self.known.clear()
         out = [self.known.get(c) for c in vocab]
         new = [i for i, f in enumerate(out) if f is None]
         texts = [vocab[i].decode("utf-8", "replace").replace(" ", MARK) for i in new]
@@ -313,9 +311,9 @@ class TextEncoder:
             out[new[k]] = ids
         for k, i in enumerate(new):
             if out[i] is None:
-                out[i] = self.model.search(texts[k])
+                out[i] = np.array(self.model.search(texts[k]), np.int32)
             if len(self.known) < self.memory:
-                self.known[vocab[i]] = out[i]
+                self.known[vocab[i]] = out[i].copy()  # not a view, which would hold its whole batch
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +330,7 @@ class TextEncoder:
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         found = self.found(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.int32, int(size.sum()))
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         begin = np.append(0, np.cumsum(size))[:-1] if len(size) else size
         codes = coded.indices.to_numpy(zero_copy_only=False)
         lens = size[codes] if len(codes) else np.zeros(0, np.int64)
@@ -343,10 +341,10 @@ class TextEncoder:
 
 def encode_pieces(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_ids, round_trip``: the last tells if decoding gives the text back (a mark in a text comes back as a space)."""
-    load = broadcast(docs.sparkSession, model)
+    load = broadcast(docs.sparkSession, TextEncoder(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(load())
+        encoder = load()
         for b in chunks(batches):
             ids, ends = encoder.encode(b.column("text"))
             rows, texts = np.split(ids, ends[1:-1]), b.column("text").to_pylist()

@@ -34,6 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def broadcast(spark: SparkSession, obj: object) -> Callable[[], object]:
-    """Gives a function that loads the object on an executor, where this package may be missing."""
+    """Gives a function that loads the object on an executor, where this package may be missing.
+
+    A worker process loads it once: what the object remembers serves that worker's later tasks too.
+    """
     held = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
-    return lambda: pickle.loads(held.value)
+
+    def load() -> object:
+        if not hasattr(held, "loaded"):
+            held.loaded = pickle.loads(held.value)
+        return held.loaded
+
+    return load
