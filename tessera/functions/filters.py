@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import json
 import operator
 from functools import reduce
 
@@ -47,3 +50,22 @@ def run_query(df: DataFrame, filters: list[dict] = (), type: str | None = None,
         out = out.where(F.col("type") == type)
     keys = [F.col(f"`{order_by}`").desc_nulls_last() if order_dir == "desc" else F.col(f"`{order_by}`").asc_nulls_last()] if order_by in df.columns else []
     return out.orderBy(*keys, tie).offset(max(0, offset)).limit(limit if 1 <= limit <= 100 else 20)
+
+
+def cursor(offset: int) -> str:
+    return base64.b64encode(json.dumps({"offset": offset}, separators=(",", ":")).encode()).decode()
+
+
+def offset_of(cursor: str) -> int:
+    """A cursor that can't be read is the beginning."""
+    try:
+        found = json.loads(base64.b64decode(cursor, validate=True)).get("offset")
+    except (binascii.Error, ValueError, AttributeError):
+        return 0
+    return found if isinstance(found, int) and found >= 0 else 0
+
+
+def page_info(total: int, limit: int, offset: int) -> dict:
+    """What stands beside a page of results."""
+    more = offset + limit < total
+    return {"total": total, "limit": limit, "offset": offset, "has_more": more, "next": cursor(offset + limit) if more else None}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TYPES = ["person", "place", "org", "work", "event", "other"]
@@ -33,3 +35,64 @@ def last_of_each(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def as_variant(df: DataFrame, column: str = "$data") -> DataFrame:
     return df.withColumn(column, F.parse_json(F.to_json(F.struct(*df.columns))))
+
+
+# Numbers of files at which a dataset is warned of or refused.
+FILE_LEVELS = ((50_000, "warning"), (75_000, "warning"), (90_000, "critical"), (100_000, "error"))
+# Infobox fields with columns of their own.
+BOX_TEXTS = ("birth_date", "death_date", "country", "founded", "release_date", "start_date", "end_date")
+
+
+def file_level(files: int) -> str | None:
+    """The gravest level that so many files reach; an error is raised."""
+    reached = [level for n, level in FILE_LEVELS if files >= n]
+    if reached and reached[-1] == "error":
+        raise ValueError(f"{files} files; {FILE_LEVELS[-1][0]} are too many")
+    return reached[-1] if reached else None
+
+
+def merged_manifests(manifests: list[DataFrame], type_col: str = "type") -> DataFrame:
+    if not manifests:
+        raise ValueError("no manifests to merge")
+    every = reduce(DataFrame.unionByName, manifests)
+    return every.groupBy(type_col).agg(*[F.sum(c).alias(c) for c in ("rows", "files", "bytes")])
+
+
+def infobox_export(articles: DataFrame) -> DataFrame:
+    """A row for each article with an infobox (``id, title, infobox`` as a map); no rows where there is none."""
+    field = lambda f: F.element_at("infobox", f)
+    digits = F.regexp_extract(F.regexp_replace(field("population"), r"[,\s]", ""), r"^([+-]?\d+)", 1)
+    return articles.where("infobox is not null").select(
+        F.col("id").alias("article_id"), "title", F.coalesce(F.nullif(field("_type"), F.lit("")), F.lit("unknown")).alias("infobox_type"), F.to_json("infobox").alias("data"),
+        *[field(f).alias(f) for f in BOX_TEXTS[:3]], digits.try_cast("bigint").alias("population"), *[field(f).alias(f) for f in BOX_TEXTS[3:]],
+    )
+
+
+def row_size(df: DataFrame, dimensions: int = 0, content: bool = True) -> Column:
+    """Estimated bytes of a row: two for each character of its texts, four for each component of its embeddings."""
+    defaults = {"id": 10, "title": 30, "type": 6, "wikidata_id": 0, "model_version": 20} | ({"content": 0} if content else {})
+    sizes = [F.coalesce(F.length(c), F.lit(n)) * 2 if c in df.columns else F.lit(2 * n) for c, n in defaults.items()]
+    return (reduce(lambda a, b: a + b, sizes) + 26 + 4 + 8 + 4 * dimensions).cast("long")
+
+
+def write_index(df: DataFrame, path: str) -> None:
+    """Compressed JSON lines."""
+    df.write.option("compression", "gzip").mode("overwrite").json(path)
+
+
+def merged_index(parts: list[DataFrame], key: str) -> DataFrame:
+    """Rows of later parts replace those of earlier ones."""
+    numbered = reduce(DataFrame.unionByName, [p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)])
+    columns = [c for c in parts[0].columns if c != key]
+    last = F.max(F.struct("__part", *columns))
+    return numbered.groupBy(key).agg(last.alias("l")).select(key, *[F.col(f"l.`{c}`").alias(c) for c in columns])
+
+
+def as_lines(df: DataFrame, form: str = "json") -> DataFrame:
+    """``line``: rows as JSON, or as CSV with doubled quotes and scores of four places."""
+    if form == "json":
+        return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
+    if form != "csv":
+        raise ValueError(f"unknown form {form}")
+    texts = [F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if k == "double" else F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) if k == "string" else F.col(c).cast("string") for c, k in df.dtypes]
+    return df.select(F.array_join(F.array(*[F.coalesce(x, F.lit("")) for x in texts]), ",").alias("line"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def admit_sliding(times: list[int], kept: list[int], limit: int, window: int) -> list[bool]:
@@ -77,3 +78,35 @@ def event_windows(df: DataFrame, time: str, width: str, slide: str | None = None
     """Counts per event-time window with a watermark, for streams and tables alike."""
     ts = F.col(time).cast("timestamp")
     return df.withColumn("ts_", ts).withWatermark("ts_", late).groupBy(F.window("ts_", width, slide) if slide else F.window("ts_", width)).agg(F.count("*").alias("n"))
+
+
+def admit_fixed(times: list[int], start: int | None, count: int, limit: int, window: int) -> tuple[list[bool], int | None, int]:
+    """Windows begin with the first request after the last one ended; refused requests count too."""
+    out = []
+    for t in times:
+        if start is None or t - start >= window:
+            start, count = t, 0
+        count += 1
+        out.append(count <= limit)
+    return out, start, count
+
+
+def rate_limited_fixed(df: DataFrame, key: str, time_ms: str, order: str, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
+    """As ``rate_limited``, by fixed windows."""
+    schema = StructType([*df.select(key, time_ms, order).schema.fields]).add("allowed", "boolean")
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([time_ms, order])
+        return g.assign(allowed=admit_fixed(g[time_ms].tolist(), None, 0, limit, window_ms)[0])
+
+    return df.select(key, time_ms, order).groupBy(key).applyInPandas(fold, schema)
+
+
+def write_batches(df: DataFrame, path: str, checkpoint: str, seconds: int = 10):  # noqa: ANN201
+    """Starts a stream that writes JSON files of its new rows every so many seconds; batches without rows write nothing."""
+
+    def flush(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").json(f"{path}/batch={number}")  # a repeated batch replaces itself
+
+    return df.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
