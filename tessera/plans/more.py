@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from tessera.functions import classify, embedding, logs, vectors
+from tessera.functions import classify, embedding, logs, vectors, wikidoc
 from tessera.operators import clusters, graph, search, storage
 from tessera.plans.catalog import ARTICLES, LOG, VEC, articles, embedded, log, query, t
 from tessera.streaming.state import rate_limited_fixed
@@ -190,3 +192,13 @@ def word_overlap(spark, d):
 def fixed_window_admission(spark, d):
     e = t(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
     return rate_limited_fixed(e, "user_id", "ms", "event_id", limit=3, window_ms=86_400_000)
+
+
+@query("SELECT n_nationkey AS id, n_name AS title, n_name || ' is in ' || r_name || '.' AS summary, r_name AS region, '# ' || n_name AS heading, 'Kind' AS kind, 1 AS refs FROM nation JOIN region ON n_regionkey = r_regionkey")
+def wiki_documents(spark, d):
+    a = linked(spark, d)
+    region = F.element_at("infobox", "location")
+    w = F.concat(F.lit("'''"), "title", F.lit("''' is in [["), region, F.lit("|"), region, F.lit("]].<ref name=a>{{cite web|title=x}}</ref>\n== Facts ==\n{|\n! Kind !! Region\n|-\n| Kind || "), region, F.lit("\n|}\n"))
+    doc = a.select("id", "title", wikidoc.document("title", w, date(2024, 1, 1)).alias("d"))
+    row = F.col("d.tables")[0][0]
+    return doc.select("id", "title", F.col("d.summary").alias("summary"), row["Region"].alias("region"), F.substring_index("d.markdown", "\n", 1).alias("heading"), row["Kind"].alias("kind"), F.size("d.references").alias("refs"))
