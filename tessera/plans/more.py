@@ -194,7 +194,7 @@ def fixed_window_admission(spark, d):
     return rate_limited_fixed(e, "user_id", "ms", "event_id", limit=3, window_ms=86_400_000)
 
 
-@query("SELECT n_nationkey AS id, n_name AS title, n_name || ' is in ' || r_name || '.' AS summary, r_name AS region, '# ' || n_name AS heading, 'Kind' AS kind, 1 AS refs FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_nationkey AS id, n_name AS title, n_name || ' is in ' || r_name || '.' AS summary, r_name AS region, '# ' || replace(n_name, '_', ' ') AS heading, 'Kind' AS kind, 1 AS refs FROM nation JOIN region ON n_regionkey = r_regionkey")
 def wiki_documents(spark, d):
     a = linked(spark, d)
     region = F.element_at("infobox", "location")
