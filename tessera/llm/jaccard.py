@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.blocks import MESSAGE, pack, received, slices
@@ -189,13 +190,16 @@ class RegionJoin:
     def cells(self, rows: np.ndarray) -> list[np.ndarray]:
         """The same step with single shingles as pivots, rarest in this region first: a set can meet a linked one only in the
         cells of its first n - ceil(n s) + 1 shingles. What these cells connect, as regions of two sets at least."""
-        flat, size = np.concatenate([self.sets[i] for i in rows]), self.size[rows]
-        who = np.repeat(np.arange(len(rows)), size)
-        _, of, times = np.unique(flat, return_inverse=True, return_counts=True)
+        size = self.size[rows]
+        of, times = numbered(np.concatenate([self.sets[i] for i in rows]))
+        who = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+        shared = times[of] > 1
+        alone = np.bincount(who[~shared], minlength=len(rows))  # these come first and open no cell
+        of, who = of[shared], who[shared]
         order = np.lexsort((of, times[of], who))
-        place = np.arange(len(flat)) - np.repeat(np.append(0, np.cumsum(size))[:-1], size)
+        first = np.append(0, np.cumsum(np.bincount(who, minlength=len(rows))))[:-1]
         reach = size - -(-self.num * size // self.den) + 1
-        pick = order[(place < reach[who]) & (times[of[order]] > 1)]
+        pick = order[np.arange(len(of)) < (first + reach - alone)[who]]
         pick = pick[np.lexsort((who[pick], of[pick]))]
         cell, doc = of[pick], who[pick]
         head = np.r_[True, cell[1:] != cell[:-1]] if len(cell) else np.zeros(0, bool)
@@ -215,41 +219,59 @@ class RegionJoin:
         return [rows[part] for part in np.split(order, cut[1:]) if len(part) > 1]
 
     def product(self, rows: np.ndarray) -> None:
-        """All pairs of the region at once: shared counts are products of 0/1 matrices, columns in pieces."""
-        flat = np.concatenate([self.sets[i] for i in rows])
-        who = np.repeat(np.arange(len(rows)), self.size[rows])
-        key, of, times = np.unique(flat, return_inverse=True, return_counts=True)
-        of, who = (np.cumsum(times > 1) - 1)[of[times[of] > 1]], who[times[of] > 1]
+        """All pairs of the region: shared counts are products of 0/1 matrices, rows and columns in pieces of CELLS at most.
+        It ends as soon as all rows are connected."""
+        of, times = numbered(np.concatenate([self.sets[i] for i in rows]))
+        who = np.repeat(np.arange(len(rows), dtype=np.int32), self.size[rows])
+        shared = times[of] > 1
+        of, who = (np.cumsum(times > 1, dtype=np.int32) - 1)[of[shared]], who[shared]
         order = np.argsort(of, kind="stable")
         of, who = of[order], who[order]
-        shared = np.zeros((len(rows), len(rows)), np.float32)
-        step = max(1, self.CELLS // len(rows))
-        for a in range(0, int(of[-1]) + 1 if len(of) else 0, step):
-            s = slice(*np.searchsorted(of, [a, a + step]))
-            m = np.zeros((len(rows), min(step, int(of[-1]) + 1 - a)), np.float32)
-            m[who[s], of[s] - a] = 1
-            shared += m @ m.T
-        size = self.size[rows]
-        near = self.den * shared.astype(np.int64) >= self.num * (size[:, None] + size[None, :] - shared.astype(np.int64))
-        open_ = np.ones(len(rows), bool)
-        for i in range(len(rows)):
-            if not open_[i]:
-                continue
-            front = np.array([i])
-            open_[i] = False
-            while len(front):
-                new = np.flatnonzero(near[front].any(0) & open_)
-                open_[new] = False
-                for j in new.tolist():
-                    self.link(int(rows[i]), int(rows[j]))
-                front = new
+        columns, step = (int(of[-1]) + 1 if len(of) else 0), max(1, self.CELLS // len(rows))
+        size = self.size[rows].astype(float)
+        label = np.unique([self.top(int(i)) for i in rows], return_inverse=True)[1]
+        for r in range(0, len(rows), step):
+            if not label.any():
+                break
+            block = slice(r, min(r + step, len(rows)))
+            both = np.zeros((block.stop - r, len(rows)), np.float32)
+            for a in range(0, columns, step):
+                s = slice(*np.searchsorted(of, [a, a + step]))
+                m = np.zeros((len(rows), min(step, columns - a)), np.float32)
+                m[who[s], of[s] - a] = 1
+                both += m[block] @ m.T
+            near = self.den * both.astype(float) >= self.num * (size[block, None] + size - both)
+            near[np.arange(len(near)), np.arange(block.start, block.stop)] = True  # shingles that no other set has aren't counted
+            for i in range(len(near)):
+                met = np.unique(label[near[i]])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+        head = np.unique(label, return_index=True, return_inverse=True)
+        for i, j in zip(rows.tolist(), rows[head[1][head[2]]].tolist(), strict=True):
+            self.link(i, j)
+
+
+def numbered(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each shingle, in sorted order of the shingles, and how often each number occurs."""
+    order = np.argsort(flat, kind="stable")
+    run = flat[order]
+    number = np.zeros(len(flat), np.int32)
+    np.cumsum(run[1:] != run[:-1], out=number[1:])
+    of = np.empty(len(flat), np.int32)
+    of[order] = number
+    return of, np.bincount(number).astype(np.int32)
 
 
 def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
     """Edges from each document to the least one of its component, for the regions of one task."""
     group = group.sort_by([("region", "ascending"), ("doc_id", "ascending")])
     region, ids = group["region"].to_numpy(), group["doc_id"].to_numpy()
-    sets = shingles(group["text"].combine_chunks(), k)
+    sets = []
+    at = np.cumsum(pc.fill_null(pc.binary_length(group["text"]), 0).to_numpy()) // (4 << 20)
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+    for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):  # texts in pieces: their words take many times their size
+        sets += shingles(group["text"].slice(a, b - a).combine_chunks(), k)
+    del group
     edges = []
     cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
     for a, b in zip(cut, np.append(cut[1:], len(region)), strict=True):
