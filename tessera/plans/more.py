@@ -104,7 +104,7 @@ def ivf_all_cells(spark, d):
 def ivf_nearest(spark, d):
     v, q = embedded(spark, d)
     centres = clusters.kmeans(v, 16)
-    return clusters.ivf_search(clusters.with_cells(v, centres), centres, q, 10, nprobe=4)
+    return clusters.ivf_search(clusters.with_cells(v, centres), centres, q, 10)
 
 
 @query()
