@@ -12,6 +12,7 @@ Nulls and empty texts have 0 tokens. Repeated rows are counted each; extra colum
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from tessera.llm.store import table
 from tessera.llm.words import chunks, utf8, words_of
 
 NONE = np.int64(1 << 40)
+WHITE = re.compile(r"\s")  # all of Unicode's
 
 
 def byte_letters() -> list[str]:
@@ -138,8 +140,14 @@ class WordCounter:
             elif b"<|" in raw:
                 self._special(i, raw.decode("utf-8", "replace"), owner, pieces, extra)
             else:
-                rest.append(i)
-                texts.append(raw.decode("utf-8", "replace"))
+                word = raw.decode("utf-8", "replace")
+                if WHITE.search(word):  # such as U+00A0: becomes a space, and would shift the words after it
+                    own = self.pre_tokens(word)
+                    owner += [i] * len(own)
+                    pieces += own
+                else:
+                    rest.append(i)
+                    texts.append(word)
         for at in range(0, len(rest), 2000):
             self._split(rest[at : at + 2000], texts[at : at + 2000], owner, pieces)
         index: dict[bytes, int] = {}
@@ -160,10 +168,10 @@ class WordCounter:
             pieces += own
 
     def _split(self, index: list[int], words: list[str], owner: list[int], pieces: list[bytes]) -> None:
-        """Many words in one call of the library: they are joined by spaces, which no pre-token crosses."""
+        """Many words without white space in one call of the library: they are joined by spaces, which no pre-token crosses."""
         text = self.library.normalizer.normalize_str(" ".join(words))
         sizes = [len(w) + 1 for w in text.split(" ")]
-        if len(sizes) != len(words):  # a word holds white space of its own, which became a space
+        if len(sizes) != len(words):  # the words do not line up
             for i, word in zip(index, words):
                 own = self.pre_tokens(word)
                 owner += [i] * len(own)
