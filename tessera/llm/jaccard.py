@@ -263,7 +263,7 @@ def numbered(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
-    """Edges from each document to the least one of its component, for the regions of one task."""
+    """One edge from each document to the least one of its component, for the regions of one task."""
     group = group.sort_by([("region", "ascending"), ("doc_id", "ascending")])
     region, ids = group["region"].to_numpy(), group["doc_id"].to_numpy()
     sets = []
@@ -276,7 +276,10 @@ def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
     for a, b in zip(cut, np.append(cut[1:], len(region)), strict=True):
         j = RegionJoin(sets[a:b], num, den)
-        edges += [(int(ids[a + i]), int(ids[a + t])) for i in range(b - a) if (t := j.top(i)) != i]
+        again = np.r_[False, ids[a + 1 : b] == ids[a : b - 1]]
+        for i in np.flatnonzero(again).tolist():  # rows of one id are one node
+            j.link(i - 1, i)
+        edges += [(int(ids[a + i]), int(ids[a + t])) for i in np.flatnonzero(~again).tolist() if (t := j.top(i)) != i]
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
