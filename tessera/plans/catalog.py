@@ -108,7 +108,8 @@ def dataset_validation(spark, d):
 def dataset_card(spark, d):
     n, all_ = F.col("n"), F.sum("n").over(Window.partitionBy())
     c = articles(spark, d).groupBy("type").agg(F.count("*").alias("n"))
-    return c.select("type", "n", F.round(100.0 * n / all_, 4).alias("percent"), F.when(all_ < 1000, "n<1K").when(all_ < 10000, "1K<n<10K").otherwise("10K<n<100K").alias("bucket"))
+    bucket = F.when(all_ < 1000, "n<1K").when(all_ < 10000, "1K<n<10K").when(all_ < 100_000, "10K<n<100K").when(all_ < 1_000_000, "100K<n<1M").when(all_ < 10_000_000, "1M<n<10M").otherwise("n>10M")
+    return c.select("type", "n", F.round(100.0 * n / all_, 4).alias("percent"), bucket.alias("bucket"))
 
 
 @query(ARTICLES + "SELECT type, count(*) AS rows, sum(n_chars) AS chars FROM articles GROUP BY type")
