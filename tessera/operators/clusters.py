@@ -1,6 +1,7 @@
 """Partitioned and compressed vector indexes: k-means cells, product codes, and principal components.
 
-Models are fitted on a bounded sample (``sample`` rows, 50,000 by default); every row is assigned and searchable.
+Cells and codebooks are fitted on a bounded sample (``sample`` rows, 50,000 by default), principal components on all rows;
+every row is assigned and searchable.
 How many cells a search probes and how many rows it ranks anew is calibrated: for some rows as queries the true neighbours are
 found by brute force over all rows, and the setting is the least that reaches ``RECALL`` of them.
 """
@@ -176,9 +177,9 @@ class ProductCodes:
         return rough.select("id", squared_l2(F.col("embedding"), literal(query)).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def principal_components(vectors: DataFrame, k: int, sample: int = SAMPLE) -> np.ndarray:
-    """Rows are components; each one's largest entry is positive."""
-    rows = sampled(vectors, sample).select(array_to_vector("embedding").alias("features"))
+def principal_components(vectors: DataFrame, k: int) -> np.ndarray:
+    """Of all rows; rows are components, each one's largest entry is positive."""
+    rows = vectors.where("embedding is not null").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     pc = PCA(k=k, inputCol="features", outputCol="p").fit(rows).pc.toArray().T
     return pc * np.sign(pc[np.arange(k), np.abs(pc).argmax(1)])[:, None]
 
