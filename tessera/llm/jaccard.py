@@ -3,23 +3,20 @@
 A document is the set of its distinct word shingles; two link where their Jaccard similarity is at least
 ``num / den``. The Jaccard distance is a metric. The join goes down through regions:
 
-1. Equal sets collapse to the document with the least id.
-2. The pivots of the first level are parts of the shingle universe, ranges of hashes. The symmetric difference is a
-   metric and is the sum of its values in the parts; sets with the same projection on a part share a Voronoi
-   cell there. By the triangle inequality linked sets of about n shingles differ by at most n (1 - s) / s, so
-   with more parts than that they share a cell in one of them. Sizes are in classes a factor 1 / s wide, and a
-   set is replicated to its own class and the one below, whose members it can still reach. Cells name their
-   least document; what they connect is a region.
-3. Regions are joined exactly. Larger ones choose documents as pivots, compute all distances to them, file each
-   set with its nearest pivot and replicate it where d(x, p) <= d(x, own) + 2e; this recurs until a region is small
-   or does not shrink, and is then joined by matrix products, skipping what is connected already.
+1. ``cells``: pivots that are single shingles, rarest first, and sketches of the sets in Hamming space, which never
+   lie further apart than the sets. What these connect is a region. No text moves for it.
+2. Regions are joined exactly. Larger ones choose documents as pivots, compute all distances to them, file each
+   set with its nearest pivot (a Voronoi cell) and replicate it where d(x, p) <= d(x, own) + 2e, as the triangle
+   inequality asks; this recurs until a region is small, and is then joined by matrix products, skipping what is
+   connected already. A region that pivots don't divide goes through cells of its own first.
    Regions beyond ``region_docs`` are cut into blocks, and each pair of blocks is a task of its own.
 
-A part that is empty in both sets says nothing. ``SLACK`` more parts than needed make up for that many; only
-sets with more empty parts meet in the cells of empty ones too.
-Shingles are 64-bit hashes. Null texts and texts without words have empty sets and link with nothing. Texts with
-fewer words than a shingle have the whole sequence as their one shingle. Rows without an id get no component;
-repeated rows share theirs. Extra columns are ignored.
+Document pivots can't come first: sets of unrelated texts are all about 1 apart, so their windows hold every region.
+The ids and tasks of regions are broadcast up to ``broadcast_rows`` of them; beyond, texts are joined by a shuffle.
+
+Shingles are 64-bit hashes (48 bits of them in step 1). Null texts and texts without words have empty sets and link with
+nothing. Texts with fewer words than a shingle have the whole sequence as their one shingle. Rows without an id take the
+component of an equal set, or none; rows that repeat an id share one component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.blocks import MESSAGE, pack, received, slices
+from tessera.llm.blocks import number_of_blocks
+from tessera.llm.cells import INFO, NEAR, SAME, candidates, to_bytes
 from tessera.llm.components import components
 from tessera.llm.store import table, written
 from tessera.llm.words import U64, chunks, hashes, mix, window_hashes, words_of
 
-SETS = "doc_id long, n long, sig_a long, sig_b long, cells binary"
 EDGE = "a long, b long"
 
 
@@ -53,88 +50,20 @@ def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-SLACK = 12
-
-
-def size_class(n: int, num: int, den: int) -> int:
-    """Classes of sizes; a set never links with one more than a class away."""
-    return int(np.log(n) / np.log(den / num * (1 + 1e-6)))
-
-
-def parts_of(level: int, num: int, den: int) -> int:
-    """Parts for pairs whose smaller set is in this class: one more than they can differ, and the slack."""
-    top = int((den / num * (1 + 1e-6)) ** (level + 1)) + 1
-    most = int((den - num) * top / num + 1e-6)
-    return most + 1 + (SLACK if most else 0)
-
-
-def cells_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the cells of a sorted set, for its own size class and the one below."""
-    if not len(s):
-        return s
-    level = size_class(len(s), num, den)
-    with np.errstate(over="ignore"):
-        run = np.append(U64(0), np.cumsum(mix(s ^ U64(0x2545F4914F6CDD1D)), dtype=U64))
-        out = []
-        for c in (level, level - 1):
-            if c < 0:
-                continue
-            m = parts_of(c, num, den)
-            cut = np.append(np.searchsorted(s, np.arange(m, dtype=U64) * U64((2**64 - 1) // m)), len(s))
-            key = mix(run[cut[1:]] - run[cut[:-1]] + mix(np.arange(m, dtype=U64) + U64(c << 32)))
-            full = cut[1:] > cut[:-1]
-            out.append(key[full] if m == 1 or (~full).sum() <= SLACK else key)
-        return np.concatenate(out)
+def document_sets(docs: DataFrame, k: int, blocks: int) -> DataFrame:
+    """``block, doc_id, n, set``: blocks by the id, rows without one by their set."""
 
-
-def document_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 << 20):
             sets = shingles(b.column("text"), k)
-            with np.errstate(over="ignore"):
-                sig = np.array([[s.sum(dtype=U64), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)] for s in sets], U64).reshape(-1, 2)
+            ids = b.column("doc_id")
+            key = ids.fill_null(0).to_numpy().view(U64) + np.where(ids.is_valid().to_numpy(zero_copy_only=False), U64(0), np.array([s[0] if len(s) else 0 for s in sets], U64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(sig[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(sig[:, 1]).view(np.int64)), pa.array([cells_of(s, num, den).tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "sig_a", "sig_b", "cells"],
+                [pa.array((mix(key) % U64(blocks)).astype(np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([to_bytes(s) for s in sets], pa.binary())],
+                ["block", "doc_id", "n", "set"],
             )
 
-    return docs.mapInArrow(run, SETS)
-
-
-def cell_edges(sets: DataFrame, bits: int) -> DataFrame:
-    """Edges from each set of a cell to the least document of the cell; cells are dealt by hash ranges."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = [np.frombuffer(c, U64) for c in b.column("cells").to_pylist()]
-            if not cells:
-                continue
-            key, doc = np.concatenate(cells), np.repeat(b.column("doc_id").to_numpy(), [len(c) for c in cells])
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            head = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-            inner = np.unique(np.stack([doc, least])[:, ~head & (doc != least)], axis=1)
-            key, doc = key[head], doc[head]
-            rows = [(bucket, 0, 1, pack(keys=key[s], doc=doc[s])) for bucket, s in slices(key, bits)]
-            if inner.shape[1]:
-                rows.append((int(inner[0, 0]) % (1 << bits), 0, 2, pack(a=inner[0], b=inner[1])))
-            kinds = [("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
-
-    def meet(group: pa.Table) -> pa.Table:
-        got = received(group)
-        key = np.concatenate([x["keys"] for _, _, i, x in got if i == 1] or [np.zeros(0, U64)])
-        doc = np.concatenate([x["doc"] for _, _, i, x in got if i == 1] or [np.zeros(0, np.int64)])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        head = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        least = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(doc) else doc
-        found = [np.stack([doc, least])[:, doc != least], *(np.stack([x["a"], x["b"]]) for _, _, i, x in got if i == 2)]
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sets.select("doc_id", "cells").mapInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(meet, EDGE)
+    return docs.mapInArrow(run, "block int, doc_id long, n long, set binary")
 
 
 class RegionJoin:
@@ -147,6 +76,7 @@ class RegionJoin:
         self.size = np.array([len(s) for s in sets])
         self.root = np.arange(len(sets))
         self.reach = 2 * (1 - num / den) + 1e-9
+        self.divided = 0  # times that pivots divided rows
         self.join(np.arange(len(sets)))
 
     def top(self, i: int) -> int:
@@ -162,12 +92,6 @@ class RegionJoin:
     def join(self, rows: np.ndarray) -> None:
         if len(rows) < 2 or len({self.top(int(i)) for i in rows}) == 1:
             return
-        if len(rows) > 16:
-            parts = self.cells(rows)
-            if len(parts) != 1 or len(parts[0]) < len(rows):
-                for part in parts:
-                    self.join(part)
-                return
         if len(rows) <= self.LEAF:
             return self.product(rows)
         flat, ends = np.concatenate([self.sets[i] for i in rows]), np.append(0, np.cumsum(self.size[rows]))
@@ -182,6 +106,12 @@ class RegionJoin:
         nearest = far.min(1)
         parts = [rows[far[:, c] <= nearest + self.reach] for c in range(len(pivots)) if (far.argmin(1) == c).any()]
         if sum(map(len, parts)) < 2 * len(rows) and max(map(len, parts)) < 0.8 * len(rows):
+            self.divided += 1
+            for part in parts:
+                self.join(part)
+            return
+        parts = self.cells(rows)  # pivots don't tell these apart
+        if len(parts) != 1 or len(parts[0]) < len(rows):
             for part in parts:
                 self.join(part)
         else:
@@ -283,20 +213,19 @@ def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, task_shingles: int = 1_500_000, region_docs: int = 16_384) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blocks: int | None = None, task_shingles: int = 1_500_000, region_docs: int = 16_384, broadcast_rows: int = 300_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the last is the least id that links reach."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(document_sets(src, k, num, den), "sets")
-    some = sets.where("n > 0 and doc_id is not null")
-    same = ["n", "sig_a", "sig_b"]
-    firsts = some.groupBy(*same).agg(F.min("doc_id").alias("doc_id"))
-    size = some.agg(F.sum(F.octet_length("cells")).alias("n")).first()["n"] or 0
-    edges = components(cell_edges(some, max(1, int(size // (16 << 20)).bit_length())))
+    blocks = blocks or number_of_blocks(src)
+    found = written(candidates(document_sets(src, k, blocks), blocks, num, den), "found")
+    info = found.where(F.col("kind") == INFO).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "sig")
+    same = found.where(F.col("kind") == SAME).select("a", "b").distinct()
+    edges = components(found.where(F.col("kind") == NEAR).select("a", "b"))
     region = edges.union(edges.select("root", "root").distinct()).toDF("doc_id", "region")
     # sizes of regions, then tasks: many small regions in one, large ones in pairs of blocks
-    sized = written(region.join(firsts.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "regions")
-    total = sized.agg(F.sum("n").alias("n")).first()["n"] or 0
-    tasks = max(1, int(total // task_shingles) + 1)
+    sized = written(region.join(info.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "regions")
+    total = sized.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    tasks = max(1, int((total["n"] or 0) // task_shingles) + 1)
     per = sized.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
     large = per.where((F.col("docs") > region_docs) | (F.col("all") > 8 * task_shingles)).select("region", F.ceil(F.greatest(F.col("docs") / (region_docs / 2), F.col("all") / (4 * task_shingles))).cast("int").alias("parts"))
     split = not large.isEmpty()
@@ -305,13 +234,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         pairs = sized.join(large, "region").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         pairs = pairs.withColumn("task", -1 - F.pmod(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")), F.lit(1 << 60)))
         placed = placed.join(large, "region", "left_anti").unionByName(pairs.select(*placed.columns))
-    texts = src.where("doc_id is not null").join(placed.select("doc_id", "region", "task"), "doc_id")
-    links = texts.groupBy("task").applyInArrow(lambda g: join_regions(g.drop(["task"]), k, num, den), EDGE)
-    root = components(links) if split else links.toDF("id", "root")
-    root = written(root, "roots")
-    least = some.groupBy(*same).agg(F.min("doc_id").alias("least"))
-    out = sets.drop("cells").join(least, same, "left").join(root, F.col("least") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "least", "doc_id").alias("component_id"))
+    placed = placed.select("doc_id", "region", "task")
+    placed = F.broadcast(placed) if total["rows"] <= broadcast_rows and not split else placed.hint("merge")
+    links = src.where("doc_id is not null").join(placed, "doc_id").groupBy("task").applyInArrow(lambda g: join_regions(g.drop(["task"]), k, num, den), EDGE)
+    root = written(components(links) if split else links.toDF("id", "root").distinct(), "roots")
+    equal = info.where("n > 0 and doc_id is not null").groupBy("n", "sig").agg(F.min("doc_id").alias("equal"))
+    none = info.where("doc_id is null").join(equal, ["n", "sig"], "left").select("doc_id", "n", F.col("equal").alias("own"))
+    rows = info.where("doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("own")).unionByName(none)
+    out = rows.join(same, F.col("own") == F.col("a"), "left").select("doc_id", "n", F.coalesce("b", "own").alias("least")).join(root, F.col("least") == F.col("id"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "least").alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
