@@ -6,13 +6,18 @@ product with their centre, the best is opened, leaves are visited as they come u
 is calibrated: for some queries the true neighbours are found by brute force over all rows, and visits widen
 until the leaves visited hold ``recall`` of them.
 
-Leaves of more than ``block_rows`` rows (copies of one vector, for example) are split by hash into blocks, so
-no task holds more; a query goes to each block. Scores are sums in double precision over the dimensions in
-order, ties go to the smaller id.
-
-Vectors that are null, zero, of another length than the longest, or hold nulls or non-finite numbers take no
-part. A query never finds its own id. With fewer candidates than ``k``, all of them are returned. Extra
-columns are ignored. An empty table gives an empty result.
+Leaves that follow each other in the tree make a task of at most ``task_rows`` rows; a leaf of more (copies of one
+vector, for example) is split by hash of the id, and a query goes to each part. Queries travel in blocks of
+``query_rows``, one message for each task that one of them visits, and a task takes at most ``task_queries``. Within a
+task each leaf is one matrix product with the queries that visit it, and ``k`` rows leave for each query, whatever
+the number of leaves. Of vectors that are equal only the k + 1 least ids can be found, so the others are set aside there. Scores
+of the rows that may be among the best are sums in double precision over the dimensions in order; ties go to
+the smaller id.
+
+Vectors that are null, zero or hold nulls or non-finite numbers take no part. Vectors of different lengths have no inner
+product: each length is searched apart. A query never finds its own id. Rows that repeat an id and its vector count once; if an
+id has several vectors, all can be found and the least of them asks. With fewer candidates than ``k``, all of them are
+returned. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tessera.llm.blocks import narrow, pack, unpack
 from tessera.llm.store import broadcast, table
 
 FOUND = "query_id long, vec_id long, score double"
@@ -100,26 +106,42 @@ class KMeansTree:
         return sum(not c for c in self.children)
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of each query among these: query ids, row ids, exact scores."""
-    out: tuple[list, list, list] = ([], [], [])
-    if not len(rows):
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, visits: list[tuple[np.ndarray, int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query: query ids, row ids, exact scores. ``visits``: which queries see which rows (all of them, if None)."""
+    if not len(rows) or not len(queries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    for a in range(0, len(queries), 512):
-        rough = queries[a : a + 512] @ rows.T
-        for i, r in enumerate(rough):
-            own = query_ids[a + i]
-            r[row_ids == own] = -np.inf
-            low = np.partition(r, max(0, len(r) - k))[max(0, len(r) - k)]
-            some = np.flatnonzero((r >= low - 1e-9 * (1 + abs(low))) & (r > -np.inf)) if low > -np.inf else np.flatnonzero(r > -np.inf)
-            q, score = queries[a + i], np.zeros(len(some))
-            for d in range(rows.shape[1]):  # one order of summation everywhere: equal vectors get equal scores
-                score += q[d] * rows[some, d]
-            order = np.lexsort((row_ids[some], -score))[:k]
-            out[0].append(np.full(len(order), own))
-            out[1].append(row_ids[some][order])
-            out[2].append(score[order])
-    return tuple(np.concatenate(o) for o in out)
+    if visits is None:
+        rough = queries @ rows.T
+    else:
+        rough = np.full((len(queries), len(rows)), -np.inf)
+        for who, a, b in visits:
+            rough[who, a:b] = queries[who] @ rows[a:b].T
+    order = np.argsort(row_ids, kind="stable")
+    low, high = np.searchsorted(row_ids[order], query_ids), np.searchsorted(row_ids[order], query_ids, "right")
+    for i in np.flatnonzero(high > low).tolist():
+        rough[i, order[low[i] : high[i]]] = -np.inf
+    cut = np.partition(rough, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(queries), -np.inf)
+    slack = 1e-12 * np.sqrt((queries**2).sum(1)) * np.sqrt((rows**2).sum(1).max())
+    i, j = np.nonzero((rough >= (cut - slack)[:, None]) & (rough > -np.inf))
+    score = np.zeros(len(i))
+    for d in range(rows.shape[1]):  # one order of summation everywhere: equal vectors get equal scores
+        score += queries[i, d] * rows[j, d]
+    order = np.lexsort((row_ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    first = np.searchsorted(i, np.arange(len(queries)))
+    keep = np.arange(len(i)) - first[i] < k
+    return query_ids[i[keep]], row_ids[j[keep]], score[keep]
+
+
+def findable(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k best of some query: of equal vectors the k + 1 least ids, each once."""
+    same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    new = np.r_[True, (same[order][1:] != same[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
+    order = order[new]
+    head = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+    place = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+    return np.sort(order[place <= k])
 
 
 def merged_best(found: DataFrame, k: int) -> DataFrame:
@@ -134,10 +156,12 @@ def brute_force(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, q = load()
         for b in batches:
-            got = best(q, qi, matrix(b.column("embedding")), b.column("vec_id").to_numpy(), k)
+            y, found = matrix(b.column("embedding")), b.column("vec_id").to_numpy()
+            own = findable(y, found, k) if len(y) else np.zeros(0, np.int64)
+            got = best(q, qi, y[own], found[own], k)
             yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["query_id", "vec_id", "score"])
 
-    return merged_best(rows.mapInArrow(run, FOUND), k)
+    return merged_best(rows.mapInArrow(run, FOUND).distinct(), k)
 
 
 @dataclass
@@ -145,16 +169,30 @@ class Plan:
     tree: KMeansTree
     visits: int
     recall: float
-    split: dict[int, int]  # leaf -> blocks, where more than one
-
-
-def plan_search(rows: DataFrame, is_query: Column, k: int, sample: int, leaf_rows: int, block_rows: int, recall: float, probes: int) -> Plan | None:
+    tasks: dict[int, tuple[int, int]]  # leaf -> its first task, and how many tasks hold it
+
+
+def dealt(tree: KMeansTree, sizes: dict[int, int], task_rows: int) -> dict[int, tuple[int, int]]:
+    """Tasks of leaves that follow each other in the tree; a large leaf has several of its own."""
+    out, task, room, todo = {}, -1, 0, [0]
+    while todo:
+        node = todo.pop()
+        todo += tree.children[node][::-1]
+        if tree.children[node] or not (n := sizes.get(node, 0)):
+            continue
+        if n > task_rows:
+            parts = -(-n // task_rows)
+            out[node], task, room = (task + 1, parts), task + parts, 0
+            continue
+        if n > room:
+            task, room = task + 1, task_rows
+        out[node], room = (task, 1), room - n
+    return out
+
+
+def plan_search(rows: DataFrame, is_query: Column, k: int, sample: int, leaf_rows: int, task_rows: int, recall: float, probes: int, n: int) -> Plan:
     """Fits the tree and calibrates it; what comes to the driver is bounded by ``sample`` and ``probes``."""
-    n = rows.count()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    if not n:
-        return None
-    x = matrix(picked["embedding"])
+    x = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()["embedding"])
     tree = KMeansTree.fit(x, max(2, leaf_rows * len(x) // n))
     load = broadcast(rows.sparkSession, tree)
 
@@ -165,8 +203,9 @@ def plan_search(rows: DataFrame, is_query: Column, k: int, sample: int, leaf_row
             yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(count)], ["leaf", "n"])
 
     sizes = {r["leaf"]: r["n"] for r in rows.mapInArrow(file, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(probes).toArrow()
-    qi, q = asked["vec_id"].to_numpy(), matrix(asked["embedding"])
+    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id", "embedding").limit(probes).toArrow()
+    qi, at = np.unique(asked["vec_id"].to_numpy(), return_index=True)
+    q = matrix(asked["embedding"])[at] if len(at) else np.zeros((0, x.shape[1]))
     visits, reached = 1, 1.0
     if len(qi):
         true = brute_force(rows, qi, q, k).join(rows, "vec_id").select("query_id", "embedding").toArrow()
@@ -176,42 +215,78 @@ def plan_search(rows: DataFrame, is_query: Column, k: int, sample: int, leaf_row
         if len(rank):
             visits = int(rank[min(len(rank) - 1, int(np.ceil(recall * len(rank))) - 1)]) + 1
             reached = float((rank < visits).mean())
-    return Plan(tree, visits, reached, {f: -(-c // block_rows) for f, c in sizes.items() if c > block_rows})
+    return Plan(tree, visits, reached, dealt(tree, sizes, task_rows))
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, sample: int = 20_000, leaf_rows: int = 256, block_rows: int = 4096, recall: float = 0.97, probes: int = 100) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, sample: int = 20_000, leaf_rows: int = 512, task_rows: int = 8192, recall: float = 0.95, probes: int = 100, query_rows: int = 512, task_queries: int = 65_536) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row that ``is_query`` holds for."""
-    spark = rows.sparkSession
     rows = usable(rows)
-    dim = rows.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 0
-    rows = rows.where(F.size("embedding") == dim)
-    plan = plan_search(rows, is_query, k, sample, leaf_rows, block_rows, recall, probes)
-    if plan is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    load = broadcast(spark, plan)
-    cell = "leaf long, block int, vec_id long, embedding array<double>"
+    per = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("asked")).orderBy("d").collect()
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in per:
+        own = rows.where(F.size("embedding") == r["d"])
+        plan = plan_search(own, is_query, k, sample, leaf_rows, task_rows, recall, probes, r["n"])
+        found = visited(own, is_query, plan, k, query_rows, -(-(r["asked"] or 0) // task_queries) or 1)
+        out = found if len(per) == 1 else out.unionByName(found)
+    return out
+
+
+def visited(rows: DataFrame, is_query: Column, plan: Plan, k: int, query_rows: int, parts: int) -> DataFrame:
+    """The search of vectors of one length. ``parts``: into how many the queries of a task are divided."""
+    load = broadcast(rows.sparkSession, plan)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load()
+        first, count = (np.zeros(len(p.tree.children), np.int64) for _ in range(2))
+        for f, (task, n) in p.tasks.items():
+            first[f], count[f] = task, n
         for b in batches:
             leaf, ids = p.tree.leaf_of(matrix(b.column("embedding"))), b.column("vec_id").to_numpy()
-            scattered = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            blocks = np.array([p.split.get(int(f), 1) for f in leaf], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array((scattered % blocks).astype(np.int32)), b.column("vec_id"), b.column("embedding")], ["leaf", "block", "vec_id", "embedding"])
+            scattered = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            task = first[leaf] + scattered % np.maximum(1, count[leaf])
+            for part in range(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(np.full(len(ids), part, np.int32)), pa.array(leaf), b.column("vec_id"), b.column("embedding")], ["task", "part", "leaf", "vec_id", "embedding"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load()
         for b in batches:
-            to = [(i, f, s) for i, v in enumerate(matrix(b.column("embedding"))) for f in p.tree.walk(v, p.visits) for s in range(p.split.get(f, 1))]
-            i, f, s = (np.array(c, np.int64) for c in zip(*to, strict=True)) if to else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(s.astype(np.int32)), b.column("vec_id").take(pa.array(i)), b.column("embedding").take(pa.array(i))], ["leaf", "block", "vec_id", "embedding"])
+            every, ids = matrix(b.column("embedding")), b.column("vec_id").to_numpy()
+            side = (ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % parts
+            for part in range(parts):
+                mine = np.flatnonzero(side == part)
+                for a in range(0, len(mine), query_rows):
+                    some = mine[a : a + query_rows]
+                    to: dict[int, list[tuple[int, int]]] = {}
+                    for i, v in enumerate(every[some]):
+                        for f in p.tree.walk(v, p.visits):
+                            first, n = p.tasks.get(f, (0, 0))
+                            for t in range(first, first + n):
+                                to.setdefault(t, []).append((i, f))
+                    sent = []
+                    for t, pairs in to.items():
+                        i, f = np.array(pairs).T
+                        own, i = np.unique(i, return_inverse=True)
+                        sent.append((t, part, pack(ids=ids[some[own]], x=every[some[own]], who=narrow(i), leaf=narrow(f))))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in sent], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["task", "part", "payload"])
 
     def visit(asked: pa.Table, filed: pa.Table) -> pa.Table:
-        got = best(matrix(asked["embedding"]), asked["vec_id"].to_numpy(), matrix(filed["embedding"]), filed["vec_id"].to_numpy(), k) if asked.num_rows and filed.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
-
-    filed = rows.mapInArrow(file, cell).groupBy("leaf", "block")
-    asked = rows.where(is_query).mapInArrow(ask, cell).groupBy("leaf", "block")
+        x, ids, leaf = matrix(filed["embedding"]), filed["vec_id"].to_numpy(), filed["leaf"].to_numpy()
+        own = findable(x, ids, k) if len(ids) else np.zeros(0, np.int64)
+        own = own[np.argsort(leaf[own], kind="stable")]
+        x, ids, leaf = x[own], ids[own], leaf[own]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for payload in asked["payload"].to_pylist():
+            m = unpack(payload)
+            of, who = m["leaf"].astype(np.int64), m["who"].astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            leaves, at = np.unique(of[order], return_index=True)
+            visits = [(who[order][a:b], *np.searchsorted(leaf, [f, f + 1]).tolist()) for f, a, b in zip(leaves.tolist(), at.tolist(), [*at[1:].tolist(), len(of)], strict=True)]
+            out.append(best(m["x"], m["ids"], x, ids, k, visits))
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    filed = rows.mapInArrow(file, "task int, part int, leaf long, vec_id long, embedding array<double>").groupBy("task", "part")
+    asked = queries.mapInArrow(ask, "task int, part int, payload binary").groupBy("task", "part")
     out = merged_best(asked.cogroup(filed).applyInArrow(visit, FOUND), k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

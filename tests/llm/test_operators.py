@@ -153,7 +153,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [1.0] * 8) for i in range(30)] + [(900, None), (920, [0.0] * 8), (940, [float("nan")] * 8), (960, [None] * 8), (980, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = search(df, F.col("vec_id") % 20 == 0, k=20, leaf_rows=32, block_rows=16, recall=0.97).collect()
+    got = search(df, F.col("vec_id") % 20 == 0, k=20, leaf_rows=32, task_rows=16, recall=0.97).collect()
     x, hits, seen = {i: np.array(v) for i, v in rows[:430]}, 0, 0
     for q in (i for i in x if i % 20 == 0):
         want = sorted(((-float(sum(a * b for a, b in zip(x[q], v, strict=True))), i) for i, v in x.items() if i != q))[:20]
