@@ -7,8 +7,8 @@ goes to the next shorter n-gram through a backoff weight that makes the distribu
     a(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over the same w)
 
 P(w) is the discounted unigram; its freed mass belongs to the unknown word, one class for all words that
-training has not seen. A context that training has not seen backs off with weight 1. Where counts of counts
-give no discount between 0 and 1 (small corpora), an absolute discount of one half takes the place. A context
+training has not seen. A context that training has not seen backs off with weight 1. Counts of counts are smoothed
+by a line through their logarithms first, as in simple Good-Turing, since raw ones of real texts are not monotonous. A context
 whose counts all exceed 5 frees no mass; its total is raised by one, which frees one count's share.
 
 The tables are partitioned: words by hash, bigrams by their first word. A block of documents asks each bucket for
@@ -34,7 +34,8 @@ from tessera.llm.words import hashes, mix, words_of
 
 END, START = np.uint64(0xE7D5C3B1A9887766), np.uint64(0x1122334455667789)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-KATZ = 5
+#: Counts up to KATZ are discounted; counts of counts up to TOP draw the line.
+KATZ, TOP = 5, 16
 KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
@@ -42,16 +43,33 @@ def held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i in ids], bool)
 
 
+def smoothed(counts_of_counts: list[int]) -> np.ndarray | None:
+    """Counts of counts for r = 1 .. KATZ + 1 from a line through log Z(r) over log r, as in simple Good-Turing: Z spreads each count of
+    counts over the gap between its neighbours. None without a falling line."""
+    n = np.array(counts_of_counts, float)
+    r = np.flatnonzero(n) + 1
+    if len(r) < 2:
+        return None
+    before, after = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+    x, y = np.log(r), np.log(n[r - 1] / (0.5 * (after - before)))
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    if slope >= -1:  # no discount below 1 would follow
+        return None
+    return np.exp(y.mean() + slope * (np.log(np.arange(1, KATZ + 2)) - x.mean()))
+
+
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
-    """d(r) for r = 0 .. KATZ + 1 (1 beyond KATZ), from the numbers of n-grams seen 1 .. KATZ + 1 times."""
-    n = np.array([0, *counts_of_counts], float)
+    """d(r) for r = 0 .. KATZ + 1 (1 beyond KATZ), from the numbers of n-grams seen 1 .. TOP times: Katz's form of Good-Turing over
+    smoothed counts of counts. One d(r) that isn't between 0 and 1 gives way to (r - 1/2) / r, and so do all where a corpus is
+    so small that no line can be drawn."""
     d = np.ones(KATZ + 2)
     r = np.arange(1, KATZ + 1)
-    with np.errstate(all="ignore"):
-        tail = (KATZ + 1) * n[KATZ + 1] / n[1]
-        d[1 : KATZ + 1] = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)
-    if not np.isfinite(d).all() or (d[1 : KATZ + 1] <= 0).any() or (d[1 : KATZ + 1] >= 1).any():
-        d[1 : KATZ + 1] = (r - 0.5) / r
+    n = smoothed(counts_of_counts)
+    found = np.full(KATZ, np.nan)
+    if n is not None:
+        tail = (KATZ + 1) * n[KATZ] / n[0]
+        found = ((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail)
+    d[1 : KATZ + 1] = np.where((found > 0) & (found < 1), found, (r - 0.5) / r)
     d[0] = 0
     return d
 
@@ -62,7 +80,7 @@ class Unigrams:
     def __init__(self, stats: dict):
         self.n, self.v = int(stats["n"]), int(stats["v"])
         self.d = discounts(stats["r"])
-        seen = self.n - sum((1 - self.d[r]) * r * c for r, c in enumerate(stats["r"], 1))
+        seen = self.n - sum((1 - self.d[r]) * r * c for r, c in enumerate(stats["r"][:KATZ], 1))
         self.total = self.n + (self.n - seen < 1e-9 * self.n)  # no mass freed: one token more makes room for the unknown word
         self.unknown = 1 - seen / self.total if self.n else 1.0
 
@@ -71,7 +89,7 @@ class Unigrams:
 
 
 def histogram(counts: np.ndarray) -> np.ndarray:
-    return np.bincount(np.minimum(counts, KATZ + 2), minlength=KATZ + 3)[1 : KATZ + 2]
+    return np.bincount(np.minimum(counts, TOP + 1), minlength=TOP + 2)[1 : TOP + 1]
 
 
 class Tokens:
@@ -222,8 +240,8 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     def to_all(stats: DataFrame, kind: int, column: str, n: int) -> DataFrame:
         """The sums of a few numbers as a message to each block or bucket."""
         total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-        one = stats.agg(total("n").alias("n"), total("v").alias("v"), *[total(F.col("r")[i]).alias(f"r{i}") for i in range(KATZ + 1)])
-        text = F.to_json(F.struct("n", "v", F.array(*[f"r{i}" for i in range(KATZ + 1)]).alias("r"))).cast("binary")
+        one = stats.agg(total("n").alias("n"), total("v").alias("v"), *[total(F.col("r")[i]).alias(f"r{i}") for i in range(TOP)])
+        text = F.to_json(F.struct("n", "v", F.array(*[f"r{i}" for i in range(TOP)]).alias("r"))).cast("binary")
         other = "block" if column == "bucket" else "bucket"
         sent = one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column), F.lit(0).alias(other), F.lit(kind).alias("kind"), text.alias("payload"))
         return sent.select("bucket", "block", "kind", "payload")
