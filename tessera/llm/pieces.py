@@ -11,7 +11,8 @@ through one boundary, the ids before it are committed and forgotten.
 
 Characters without a piece are spelled in byte pieces (or the unknown piece). Where the vocabulary has no
 piece that goes on behind a space or control character, the paths converge before each white space: texts
-are cut there and each distinct chunk of a batch is searched once.
+are cut there and each distinct chunk of a batch is searched once. A mark (U+2581) in a text is a space to the
+library, so it becomes one before the cuts.
 
 Null and empty texts have no ids. Repeated rows are encoded each; extra columns are ignored.
 """
@@ -272,6 +273,33 @@ class LockstepViterbi:
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message."""
+
+    def number(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return out, at
+
+    at = 0
+    while at < len(data):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_type(data: bytes) -> int:
+    """The kind that a model file names in its training options (field 2, then 3): 1 unigram, 2 BPE; 1 where it names none."""
+    return next((v for n, own in fields(data) if n == 2 for m, v in fields(own) if m == 3), 1)
+
+
 def load_pieces(model_file: str) -> PieceModel:
     import sentencepiece
 
@@ -284,8 +312,9 @@ def load_pieces(model_file: str) -> PieceModel:
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     probe = "① ﬁ é  　A"
     plain = sp.normalize(probe) == MARK + probe.replace(" ", MARK)
-    ranks = [sp.get_score(i) for i in own[1:50]]
-    kind = "bpe" if all(s == round(s) for s in ranks) else "unigram"
+    kind = {1: "unigram", 2: "bpe"}.get(model_type(data))
+    if kind is None:
+        raise ValueError("only unigram and BPE models can be searched")
     return PieceModel(pieces, {p: sp.get_score(i) for p, i in pieces.items()}, byte_ids if sp.is_byte(byte_ids[0]) else [], sp.unk_id(), kind, spelled, None if plain else data)
 
 
@@ -323,6 +352,7 @@ class TextEncoder:
             texts = pa.array([self.library.normalize(t).replace(MARK, " ") for t in texts.to_pylist()], pa.large_string())
         else:
             texts = pa.compute.if_else(pa.compute.equal(texts, ""), "", pa.compute.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+            texts = pa.compute.replace_substring(texts, MARK, " ")  # a mark in a text is a space from here on
         raw, at = utf8(texts)
         solid = self.model.cuts[raw]
         stop = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
