@@ -3,10 +3,12 @@
 Texts and items are reduced to lower-case letters and digits (other bytes of UTF-8 letters stay). An item of
 m letters that occurs with at most k edits (k = ``edit_rate`` m) shares at least m + 1 - q - k q of its q-grams with
 the place, all on diagonals at most k apart. Shared q-grams are counted in bands of 2k + 1 diagonals that overlap by half,
-regions that reach the bound are kept, and each is verified by alignment in a band around it.
+regions that reach the bound are kept, and each is verified by alignment on its own diagonals and k more to each side. Items
+with so few letters that k edits could touch all their q-grams take shorter ones (8, 4, 2 or 1).
 
 A place's hits are first counted in sliding windows of the text alone: where no window can reach the lowest
-bound, nothing is looked up. Items with fewer than q letters are found exactly. Items are broadcast in blocks
+bound, nothing is looked up. Items with fewer than q letters have no edits and are found exactly. All exact places of a
+region are reported, else its best one. Items are broadcast in blocks
 of at most ``block_bytes``; a larger benchmark takes another pass for each block.
 
 Null and empty texts or items match nothing. Rows that repeat are reported each; items that repeat are
@@ -84,29 +86,66 @@ def aligned(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int]
     return best, end - int(np.flatnonzero(back == best)[0]), end
 
 
-def ends_of(item: np.ndarray, text: np.ndarray) -> np.ndarray:
-    ramp = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+FAR = 1 << 30
+
+
+def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, start: np.ndarray) -> np.ndarray:
+    """Least edits on each diagonal low..high (place in the text less place in the item) with the whole item used. ``start``: costs
+    before its first letter. Only these diagonals are computed."""
+    diagonals = np.arange(low, high + 1)
+    pad = np.zeros(max(0, -low), np.uint8), np.zeros(max(0, high + len(item) - len(text)), np.uint8)
+    text = np.concatenate([pad[0], text, pad[1]])  # no letter is 0
+    shift, ends = len(pad[0]), len(text) - len(pad[0]) - len(pad[1])
+    ramp = np.arange(len(diagonals))
+    row = start.astype(np.int64)
     for i, c in enumerate(item, 1):
-        step = np.empty_like(row)
-        step[0] = i
-        step[1:] = np.minimum(row[1:] + 1, row[:-1] + (text != c))
+        own = text[i + low - 1 + shift : i + high + shift]
+        step = row + (own != c)
+        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
         row = np.minimum.accumulate(step - ramp) + ramp
+        row[(i + diagonals < 0) | (i + diagonals > ends)] = FAR
     return row
 
 
+def aligned(item: np.ndarray, text: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """Least edits (at most k) that turn a stretch of the text into the item: edits, begin, end of the stretch.
+
+    The alignment stays on the diagonals low - k to high + k.
+    """
+    low, high = low - k, high + k
+    diagonals = np.arange(low, high + 1)
+    found = banded(item, text, low, high, np.where((diagonals >= 0) & (diagonals <= len(text)), 0, FAR))
+    best = int(found.min())
+    if best > k:
+        return None
+    end = int(diagonals[np.flatnonzero(found == best)[-1]]) + len(item)
+    # back from that end: the first row's diagonals cost the letters of text they skip
+    back = np.arange(-k, k + 1)
+    found = banded(item[::-1], text[:end][::-1], -k, k, np.where(back >= 0, back, FAR))
+    return best, end - len(item) - int(back[np.flatnonzero(found == best)[0]]), end
+
+
+def edits(letters: int, edit_rate: float) -> int:
+    return int(letters * edit_rate + 1e-9)
+
+
+def gram_length(letters: int, edit_rate: float, q: int) -> int:
+    """The longest of q, 8, 4, 2 and 1 with which k edits leave one q-gram at least: q (k + 1) <= letters. Items without edits take q."""
+    k = edits(letters, edit_rate)
+    return next((x for x in (q, 8, 4, 2) if x <= q and x * (k + 1) <= letters), 1) if k else q
+
+
 @dataclass
 class Matcher:
+    """Items of one gram length."""
+
     ids: list[int]
     items: list[np.ndarray]
     edit_rate: float
     q: int
 
     def __post_init__(self) -> None:
-        self.k = [int(len(i) * self.edit_rate) for i in self.items]
-        for n, item in enumerate(self.items):  # few letters: fewer edits, so that the bound stays above zero
-            while self.k[n] and self.bound(n) < 2:
-                self.k[n] -= 1
+        self.k = [edits(len(i), self.edit_rate) for i in self.items]
         long = [n for n, i in enumerate(self.items) if len(i) >= self.q]
         self.short = [n for n, i in enumerate(self.items) if 0 < len(i) < self.q]
         parts = [(grams(self.items[n], self.q), n) for n in long]
@@ -133,13 +172,15 @@ class Matcher:
         out = []
         for doc, n, low, high in found:
             item, k = self.items[n], self.k[n]
-            a, b = max(int(first[doc]), low), min(int(first[doc + 1]), high)
-            exact = letters[a:b].tobytes().find(item.tobytes())
-            got = (0, exact, exact + len(item)) if exact >= 0 else aligned(item, letters[a:b], k)
-            if got:
-                edits, s, e = got
-                base = int(at[doc])
-                out.append((doc, self.ids[n], int(place[a + s]) - base if e > s else 0, int(place[a + e - 1]) + 1 - base, edits))
+            a, b = max(int(first[doc]), low - k), min(int(first[doc + 1]), high + len(item) + k)
+            base, own, want = int(at[doc]), letters[a:b], item.tobytes()
+            places, p = [], (held := own.tobytes()).find(want)
+            while p >= 0:
+                places.append((0, p, p + len(item)))
+                p = held.find(want, p + 1)
+            got = None if places else aligned(item, own, k, low - a, high - a)
+            for least, s, e in [got] if got else places:
+                out.append((doc, self.ids[n], int(place[a + s]) - base if e > s else 0, int(place[a + e - 1]) + 1 - base, least))
         whole = None
         for n in self.short:
             whole = letters.tobytes() if whole is None else whole
@@ -191,38 +232,41 @@ class Matcher:
             for j in good.tolist():
                 members = order[head[j] : head[j] + count[j]]
                 n, d = int(item[members[0]]), int(doc[members[0]])
-                low = int(diagonal[members].min()) - 2 * self.k[n]
-                high = int(diagonal[members].max()) + int(self.size[n]) + 2 * self.k[n]
-                out.add((d, n, low, high))
-        # bands of one place: keep a single region
+                out.add((d, n, int(diagonal[members].min()), int(diagonal[members].max())))
+        # bands of one place: their diagonals are aligned together
         merged: list[tuple[int, int, int, int]] = []
         for d, n, low, high in sorted(out):
-            if merged and merged[-1][:2] == (d, n) and low <= merged[-1][3] - int(self.size[n]):
+            if merged and merged[-1][:2] == (d, n) and low <= merged[-1][3] + 2 * self.k[n]:
                 merged[-1] = (d, n, merged[-1][2], max(high, merged[-1][3]))
             else:
                 merged.append((d, n, low, high))
         return merged
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``block_bytes`` (one larger item makes a block). They are read a row at a time."""
-    out: list[list[tuple[int, str]]] = []
-    size = block_bytes + 1
+    out: list[tuple[int, str]] = []
+    size = 0
     for r in benchmark.where("item_id is not null and length(text) > 0").select("item_id", "text").orderBy("item_id").toLocalIterator():
-        size += len(r["text"].encode())
-        if size > block_bytes:
-            out.append([])
-            size = len(r["text"].encode())
-        out[-1].append((r["item_id"], r["text"]))
-    return out
-
-
-def matchers(benchmark: DataFrame, edit_rate: float, q: int, block_bytes: int) -> list[Matcher]:
-    out = []
+        more = len(r["text"].encode())
+        if out and size + more > block_bytes:
+            yield out
+            out, size = [], 0
+        out.append((r["item_id"], r["text"]))
+        size += more
+    if out:
+        yield out
+
+
+def matchers(benchmark: DataFrame, edit_rate: float, q: int, block_bytes: int) -> Iterator[Matcher]:
+    """A matcher for each block of items and each gram length in it; one block at a time is on the driver."""
     for block in item_blocks(benchmark, block_bytes):
         letters, _, first, _ = letters_of(pa.array([t for _, t in block]))
-        out.append(Matcher([i for i, _ in block], [letters[a:b] for a, b in zip(first, first[1:], strict=False)], edit_rate, q))
-    return out
+        items = [letters[a:b] for a, b in zip(first, first[1:], strict=False)]
+        lengths = [gram_length(len(i), edit_rate, q) for i in items]
+        for own in sorted(set(lengths)):
+            some = [n for n, x in enumerate(lengths) if x == own]
+            yield Matcher([block[n][0] for n in some], [items[n] for n in some], edit_rate, own)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.06, q: int = 12, block_bytes: int = 8 << 20) -> DataFrame:
