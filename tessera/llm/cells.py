@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.blocks import MESSAGE, bucket_bits, messages, narrow, pack, received
+from tessera.llm.memory import settled
 from tessera.llm.words import U64, mix
 
 FOUND = "kind int, a long, b long, sig long"
@@ -264,5 +265,5 @@ def candidates(sets: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()))})
 
     by_block = sets.groupBy("block")
-    replies = by_block.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(answer, MESSAGE)
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(file, MESSAGE).groupBy("bucket").applyInArrow(connect, FOUND)
+    replies = by_block.applyInArrow(settled(ask), MESSAGE).groupBy("bucket").applyInArrow(settled(answer), MESSAGE)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(settled(file), MESSAGE).groupBy("bucket").applyInArrow(settled(connect), FOUND)

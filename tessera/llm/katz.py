@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import MESSAGE, bucket_bits, in_blocks, messages, number_of_blocks, pack, narrow, received, slices
+from tessera.llm.memory import settled
 from tessera.llm.store import table
 from tessera.llm.words import hashes, mix, words_of
 
@@ -248,15 +249,15 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     stat = "n long, v long, r array<long>"
     by_block = dealt.groupBy("block")
-    asked = by_block.applyInArrow(send_words, MESSAGE)
-    words = asked.groupBy("bucket").applyInArrow(meet_words, MESSAGE)
-    of_words = asked.groupBy("bucket").applyInArrow(word_stats, stat)
-    pairs = by_block.cogroup(words.groupBy("block")).applyInArrow(send_pairs, MESSAGE)
-    of_pairs = pairs.groupBy("bucket").applyInArrow(pair_stats, stat)
+    asked = by_block.applyInArrow(settled(send_words), MESSAGE)
+    words = asked.groupBy("bucket").applyInArrow(settled(meet_words), MESSAGE)
+    of_words = asked.groupBy("bucket").applyInArrow(settled(word_stats), stat)
+    pairs = by_block.cogroup(words.groupBy("block")).applyInArrow(settled(send_pairs), MESSAGE)
+    of_pairs = pairs.groupBy("bucket").applyInArrow(settled(pair_stats), stat)
     told = to_all(of_words, 11, "bucket", 1 << bits).unionByName(to_all(of_pairs, 12, "bucket", 1 << bits))
-    weighed = pairs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(meet_pairs, MESSAGE)
+    weighed = pairs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(settled(meet_pairs), MESSAGE)
     answers = words.unionByName(weighed).unionByName(to_all(of_words, 11, "block", blocks)).unionByName(to_all(of_pairs, 12, "block", blocks))
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(score, RESULT)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(settled(score), RESULT)
 
 
 def words_answered(got: list, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm.blocks import narrow, pack, unpack
+from tessera.llm.memory import settled
 from tessera.llm.store import broadcast, table
 
 FOUND = "query_id long, vec_id long, score double"
@@ -287,7 +288,7 @@ def visited(rows: DataFrame, is_query: Column, plan: Plan, k: int, query_rows: i
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     filed = rows.mapInArrow(file, "task int, part int, leaf long, vec_id long, embedding array<double>").groupBy("task", "part")
     asked = queries.mapInArrow(ask, "task int, part int, payload binary").groupBy("task", "part")
-    out = merged_best(asked.cogroup(filed).applyInArrow(visit, FOUND), k)
+    out = merged_best(asked.cogroup(filed).applyInArrow(settled(visit), FOUND), k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

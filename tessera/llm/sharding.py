@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tessera.llm.memory import settled
 from tessera.llm.store import table
 
 BUCKET = "__bucket"
@@ -56,7 +57,7 @@ def shuffled_shards(df: DataFrame, shards: int = 8, seed: int = 11, bucket_bytes
         swap = fisher_yates(group.num_rows, np.random.default_rng([seed, key[0].as_py()]))
         return group.take(pa.array(order.to_numpy()[swap])).append_column("__place", pa.array(np.arange(group.num_rows)))
 
-    mixed = tagged.groupBy(BUCKET).applyInArrow(permute, schema)
+    mixed = tagged.groupBy(BUCKET).applyInArrow(settled(permute), schema)
     place, n = F.col("__place") + F.col("__offset"), F.col("__all")
     shard = F.expr(f"((__place + __offset + 1) * {shards} - 1) div __all")
     out = mixed.join(offsets, BUCKET).withColumn("shard", shard.cast("int"))

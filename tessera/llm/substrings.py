@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import MESSAGE, bucket_bits, in_blocks, messages, number_of_blocks, pack, received, slices
+from tessera.llm.memory import settled
 from tessera.llm.store import table
 from tessera.llm.words import Words, hashes, window_hashes, words_of
 
@@ -159,9 +160,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, blocks: int | None = None,
         return pa.table({"doc_id": group["doc_id"], "n_words": pa.array(s.w.counts(), pa.int64()), "n_removed": pa.array(out[0], pa.int64()), "kept_sha256": pa.array(out[1], pa.string()), "kept": pa.array(out[2], pa.string()), **{c: group[c] for c in extra}})
 
     by_block = dealt.groupBy("block")
-    first = by_block.applyInArrow(send_groups, MESSAGE).groupBy("bucket").applyInArrow(meet_groups, MESSAGE)
-    second = by_block.cogroup(first.groupBy("block")).applyInArrow(send_nodes, MESSAGE).groupBy("bucket").applyInArrow(meet_nodes, MESSAGE)
-    return by_block.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(cut, result)
+    first = by_block.applyInArrow(settled(send_groups), MESSAGE).groupBy("bucket").applyInArrow(settled(meet_groups), MESSAGE)
+    second = by_block.cogroup(first.groupBy("block")).applyInArrow(settled(send_nodes), MESSAGE).groupBy("bucket").applyInArrow(settled(meet_nodes), MESSAGE)
+    return by_block.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(settled(cut), result)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

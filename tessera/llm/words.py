@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from tessera.llm.memory import settle
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -121,4 +123,5 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
+            settle()
             i = j
