@@ -43,7 +43,15 @@ def hashing_embedder(dim: int, salt: str = "") -> Embed:
 
 def embedding_text(title: Column, content: Column) -> Column:
     """Title and first paragraph, 8000 characters at most."""
-    return F.substring(F.concat_ws("\n\n", title, F.substring_index(content, "\n\n", 1)), 1, 8000)
+    return cut_at_space(F.concat_ws("\n\n", title, F.substring_index(content, "\n\n", 1)))
+
+
+def cut_at_space(c: Column, size: int = 8000, back: int = 100) -> Column:
+    """The first ``size`` characters; a longer text ends at the last space among the last ``back`` of them, where there is one."""
+    head = F.substring(c, 1, size)
+    space = size - F.locate(" ", F.reverse(head))  # its place from 0
+    at_space = (F.locate(" ", F.reverse(head)) > 0) & (space > size - back)
+    return F.when(F.length(c) <= size, c).when(at_space, F.substr(head, F.lit(1), space)).otherwise(head)
 
 
 def with_embeddings(df: DataFrame, text: str, embed: Embed, batch: int = 32, one_by_one: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DecimalType, LongType
 
 
@@ -31,9 +31,64 @@ def fnv1a_64(s: pd.Series) -> pd.Series:
     return s.map(lambda t: Decimal(fnv1a(t.encode())), na_action="ignore")
 
 
+def utf16(c: Column) -> Column:
+    """The UTF-16 units of a text, as numbers."""
+    code = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    pair = lambda x: F.array(F.lit(0xD800) + F.shiftright(x - 0x10000, 10), F.lit(0xDC00) + (x - 0x10000) % 1024)
+    return F.flatten(F.transform(code, lambda x: F.when(x >= 0x10000, pair(x)).otherwise(F.array(x))))
+
+
+def djb2_32(c: Column) -> Column:
+    return F.aggregate(utf16(c), F.lit(5381).cast("long"), lambda h, x: (h * 33 + x) % (1 << 32))
+
+
+def fnv1a_32(c: Column) -> Column:
+    """Over UTF-16 units, as a number without sign."""
+    return F.aggregate(utf16(c), F.lit(2166136261).cast("long"), lambda h, x: h.bitwiseXOR(x) * 16777619 % (1 << 32))
+
+
+def fnv1a_32_rounded(text: str) -> int:
+    """The same in floating point, whose products lose what is beyond 53 bits: the form in stored title filters."""
+    h = 2166136261
+    units = text.encode("utf-16-le")
+    for i in range(0, len(units), 2):
+        h ^= int.from_bytes(units[i : i + 2], "little")
+        h = int(float(h - (1 << 32) if h >= 1 << 31 else h) * 16777619.0) % (1 << 32)
+    return h
+
+
 @F.pandas_udf(LongType())
-def djb2_32(s: pd.Series) -> pd.Series:
-    return s.map(djb2, na_action="ignore")
+def fnv1a_32_float(s: pd.Series) -> pd.Series:
+    return s.map(fnv1a_32_rounded, na_action="ignore").astype("Int64")
+
+
+def bloom_positions(h1: Column, h2: Column, bits: int, hashes: int, modulus: int | None = None) -> Column:
+    """Double hashing: (h1 + i h2) mod bits for each i; sums wrap at ``modulus`` first, where given."""
+    total = lambda i: (h1 + i.cast("long") * h2) % modulus if modulus else h1 + i.cast("long") * h2
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: total(i) % bits)
+
+
+def title_positions(title: Column, keys: int) -> Column:
+    """The bits of a title in a filter of ten bits a key and seven hashes."""
+    return bloom_positions(fnv1a_32(title), fnv1a_32(F.concat(title, title)), 10 * keys, 7)
+
+
+def term_positions(normalised: str, hashes: int, bits: int) -> list[int]:
+    """The bits of a normalised term: 64-bit hashes of it and of it with a zero character behind."""
+    h1, h2 = fnv1a(normalised.encode()), fnv1a((normalised + "\0").encode())
+    return [(h1 + i * h2) % (1 << 64) % bits for i in range(hashes)]
+
+
+def bloom_filter(keys: DataFrame, positions: Column) -> DataFrame:
+    """The set bits, ``bit``: a table, so it is as large as the keys need and is made where they are."""
+    return keys.select(F.explode(positions).alias("bit")).distinct()
+
+
+def maybe_held(asked: DataFrame, positions: Column, bits: DataFrame, key: str) -> DataFrame:
+    """The rows all of whose bits are set; the others are surely not among the keys."""
+    want = asked.select(key, F.explode(F.array_distinct(positions)).alias("bit"))
+    missing = want.join(bits, "bit", "left_anti").select(key).distinct()
+    return asked.join(missing, key, "left_anti")
 
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:

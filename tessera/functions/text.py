@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from tessera.functions.hashes import fnv1a_32
 
 # English stop-words.
 STOP_WORDS = (
@@ -117,9 +121,16 @@ def normalised_term(text: str | None, expand: bool = False, stem: bool = False,
     return t[:size]
 
 
+def each_once(f: Callable, s: pd.Series) -> pd.Series:
+    """f of each value, called once for each distinct one; nulls stay."""
+    codes, distinct = pd.factorize(s)
+    made = np.array([f(x) for x in distinct] + [None], object)
+    return pd.Series(made[codes])
+
+
 @F.pandas_udf(StringType())
 def normalise_term(s: pd.Series) -> pd.Series:
-    return s.map(normalised_term)
+    return each_once(normalised_term, s)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -165,10 +176,21 @@ def title_score(title: Column, query: str) -> Column:
     return F.when(t == q, 1.0).when(F.startswith(t, q), 0.9).when(F.contains(t, q), 0.7).when(found > 0, 0.5 * found / F.size(asked)).when(far < 0.3, 0.3 * (1 - far)).otherwise(0.0)
 
 
-def tokens(c: Column) -> Column:
-    """Lower-case index terms of 2 to 50 letters without stop-words, in order."""
+def words(c: Column) -> Column:
+    """Lower-case words of 2 to 50 letters, stop-words too, in order.
+
+    A text is put in lower case as a whole, unless it holds a letter whose lower case enters or leaves the letters of words.
+    """
     found = F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))
-    return F.filter(F.transform(found, lambda w: F.lower(w)), lambda w: F.length(w).between(2, 50) & ~w.isin(*STOP_WORDS))
+    one_by_one = F.filter(F.transform(found, lambda w: F.lower(w)), lambda w: F.length(w).between(2, 50))
+    letter = TOKEN.removesuffix("+")
+    whole = F.regexp_extract_all(F.lower(c), F.lit(f"(?<!{letter})({letter}{{2,50}})(?!{letter})"), F.lit(1))
+    return F.when(c.rlike("[\u0130\u023A\u023E\u212A\u212B]"), one_by_one).otherwise(whole)
+
+
+def tokens(c: Column) -> Column:
+    """Index terms: words without stop-words, in order."""
+    return F.filter(words(c), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def vowels(word: str) -> list[bool]:
@@ -203,6 +225,51 @@ def porter_step1(word: str) -> str:
     return w[:-1] + "i" if w.endswith("y") and any(vowels(w[:-1])) else w
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def porter_stems(s: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    return s.map(lambda ws: None if ws is None else [known.get(w) or known.setdefault(w, porter_step1(w)) for w in ws])
+
+
 @F.pandas_udf(StringType())
 def porter_stem(s: pd.Series) -> pd.Series:
-    return s.map(porter_step1, na_action="ignore")
+    return each_once(porter_step1, s)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def term_variants(s: pd.Series) -> pd.Series:
+    """The normalised term, its stemmed, expanded and accented forms, and the words of three letters or more if there are several."""
+    return each_once(lambda t: None if t is None else variants_of(t), s)
+
+
+def variants_of(term: str) -> list[str]:
+    base = normalised_term(term)
+    words_ = base.split(" ")
+    out = [base, normalised_term(term, stem=True), normalised_term(term, expand=True), accented_term(term)]
+    return list(dict.fromkeys(out + ([w for w in words_ if len(w) >= 3] if len(words_) > 1 else [])))
+
+
+def accented_term(text: str, size: int = 256) -> str:
+    """A normalised term with its diacritics."""
+    lower = unicodedata.normalize("NFC", text).lower()
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in lower).split())[:size]
+
+
+def terms_match(a: Column, b: Column, fuzzy: bool = False) -> Column:
+    """Equal when normalised, or with ``fuzzy`` if any of their variants are."""
+    same = normalise_term(a) == normalise_term(b)
+    return same | F.arrays_overlap(term_variants(a), term_variants(b)) if fuzzy else same
+
+
+def plain_title_score(title: Column, query: str) -> Column:
+    """For titles without an index: 1 equal, 0.8 begins so, 0.5 holds it, else null."""
+    key, asked = F.lower(title), F.lit(query.lower().strip())
+    return F.when(key == asked, 1.0).when(F.startswith(key, asked), 0.8).when(F.contains(key, asked), 0.5)
+
+
+def article_place(title: Column) -> Column:
+    """``kind, partition, hash`` of a title: one of 1000 partitions, in four digits."""
+    h = fnv1a_32(F.lower(title))
+    kind = F.when(F.startswith(title, F.lit("Category:")), "category").when(F.startswith(title, F.lit("Template:")), "template").when(F.startswith(title, F.lit("File:")), "file").when(F.startswith(title, F.lit("Portal:")), "portal")
+    kind = kind.when(F.contains(title, F.lit("(disambiguation)")), "disambiguation").otherwise("article")
+    return F.struct(kind.alias("kind"), F.lpad((h % 1000).cast("string"), 4, "0").alias("partition"), h.alias("hash"))

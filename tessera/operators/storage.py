@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TYPES = ["person", "place", "org", "work", "event", "other"]
 
@@ -96,3 +97,69 @@ def as_lines(df: DataFrame, form: str = "json") -> DataFrame:
         raise ValueError(f"unknown form {form}")
     texts = [F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if k == "double" else F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) if k == "string" else F.col(c).cast("string") for c, k in df.dtypes]
     return df.select(F.array_join(F.array(*[F.coalesce(x, F.lit("")) for x in texts]), ",").alias("line"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Endings of compressed files.
+CODECS = {"gz": "gzip", "gzip": "gzip", "bz2": "bzip2", "bzip2": "bzip2"}
+
+
+def codec_of(path: Column) -> Column:
+    """The codec that a file's ending names, else ``auto``."""
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CODECS.items() for x in kv]), ending), F.lit("auto"))
+
+
+def attributes(tag: Column) -> Column:
+    """A map of the ``name="value"`` pairs of a tag; of equal names the last counts."""
+    names, values = (F.regexp_extract_all(tag, F.lit(r'(\w+)="([^"]*)"'), F.lit(i)) for i in (1, 2))
+    last = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: ~F.array_contains(F.slice(names, i + 1, F.size(names)), F.element_at(names, i)))
+    return F.when(F.size(names) == 0, F.create_map().cast("map<string,string>")).otherwise(F.map_from_arrays(F.transform(last, lambda i: F.element_at(names, i)), F.transform(last, lambda i: F.element_at(values, i))))
+
+
+def paged(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """A page with ``total`` and ``has_more``. The total is one row's count, so it does not pass through the sort."""
+    limit, offset = (limit if 1 <= limit <= 100 else 20), max(0, offset)
+    total = df.agg(F.count("*").alias("total"))
+    page = df.orderBy(*order).offset(offset).limit(limit)
+    return page.join(F.broadcast(total), F.lit(True)).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def batched(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """``batch, items``: the rows in arrays of ``size``, in order. Ranges are sorted apart; their counts give each its first number."""
+    parts = df.select(F.struct(*df.columns).alias("item"), *[o.alias(f"__k{i}") for i, o in enumerate(order)]).orderBy(*[f"__k{i}" for i in range(len(order))])
+    placed = parts.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() % (1 << 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    first = counts.withColumn("__before", F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("__part", "__before")
+    at = placed.join(F.broadcast(first), "__part").withColumn("__at", F.col("__before") + F.col("__in"))
+    rows = at.groupBy(F.floor(F.col("__at") / size).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("__at", "item"))).alias("r"))
+    return rows.select("batch", F.transform("r", lambda r: r["item"]).alias("items"))
+
+
+def write_shredded(articles: DataFrame, path: str, fields: dict[str, str]) -> None:
+    """Articles with an infobox map: these fields as typed columns of their own (null where a value doesn't fit), and the whole box as VARIANT."""
+    own = [F.try_variant_get(F.parse_json(F.to_json("infobox")), f"$.{f}", "string").try_cast(k).alias(f"box_{f}") for f, k in fields.items()]
+    articles.select(*[c for c in articles.columns if c != "infobox"], *own, F.parse_json(F.to_json("infobox")).alias("infobox")).write.mode("overwrite").parquet(path)
+
+
+def write_all_forms(articles: DataFrame, path: str) -> list[str]:
+    """The full table as Parquet, JSON lines and CSV, each in a folder of its own."""
+    articles.write.mode("overwrite").parquet(f"{path}/parquet")
+    for form in ("json", "csv"):
+        as_lines(articles, form).write.mode("overwrite").text(f"{path}/{form}")
+    return [f"{path}/{form}" for form in ("parquet", "json", "csv")]
+
+
+def write_vectors(vectors: DataFrame, path: str, order: list[Column]) -> None:
+    """Vectors by model and type; of rows with the same id the last stays."""
+    last_of_each(vectors, "id", order).write.partitionBy("model", "type").mode("overwrite").parquet(path)
+
+
+def write_terms(table: DataFrame, path: str) -> None:
+    """A lookup table in ranges of sorted terms: a search for a term reads the file, and in it the row group, whose range holds it."""
+    table.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)

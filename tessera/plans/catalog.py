@@ -411,8 +411,7 @@ FTS = ARTICLES + f""", words AS (
 
 @query(FTS + "SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM words GROUP BY term")
 def fts_vocabulary(spark, d):
-    p = search.postings(articles(spark, d), stem=False)
-    return p.groupBy("term").agg(F.countDistinct("id").alias("df"), F.sum("tf").alias("tf"))
+    return search.vocabulary(articles(spark, d))
 
 
 @query(FTS + """, hits AS (SELECT id, term, count(*) AS tf, max(w) AS w FROM words WHERE term IN ('thing','ention','ered') GROUP BY id, term),
@@ -430,9 +429,8 @@ def fts_stemmed(spark, d):
 @query(FTS + "SELECT count(DISTINCT term) AS vocabulary, count(DISTINCT id) AS docs, CAST(max(n) AS BIGINT) AS all_docs, round(max(total/n), 4) AS mean_length FROM words, corpus")
 def fts_stats(spark, d):
     a = articles(spark, d)
-    p = search.postings(a, stem=False)
-    mean = search.doc_stats(p).agg(F.sum("dl").alias("s")).join(a.agg(F.count("*").alias("all_docs"))).select("all_docs", F.round(F.col("s") / F.col("all_docs"), 4).alias("mean_length"))
-    return p.agg(F.countDistinct("term").alias("vocabulary"), F.countDistinct("id").alias("docs")).join(F.broadcast(mean))
+    sums = search.corpus_stats(a).select(F.col("with_terms").alias("docs"), F.col("n").alias("all_docs"), F.round(F.col("total") / F.col("n"), 4).alias("mean_length"))
+    return search.vocabulary(a).agg(F.count("*").alias("vocabulary")).join(F.broadcast(sums), F.lit(True))  # one row each
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------
