@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.store import written
+from tessera.llm.store import discard, written
 
 
 def with_least(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = with_least(large.where("a <> b"))
         small = down.select("a", F.col("m").alias("b")).union(down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -32,7 +32,7 @@ from tessera.llm.blocks import number_of_blocks
 from tessera.llm.cells import INFO, NEAR, SAME, candidates, to_bytes
 from tessera.llm.components import components
 from tessera.llm.memory import settled
-from tessera.llm.store import table, written
+from tessera.llm.store import discard, table, written
 from tessera.llm.words import U64, chunks, hashes, mix, window_hashes, words_of
 
 EDGE = "a long, b long"
@@ -239,6 +239,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = F.broadcast(placed) if total["rows"] <= broadcast_rows and not split else placed.hint("merge")
     links = src.where("doc_id is not null").join(placed, "doc_id").groupBy("task").applyInArrow(settled(lambda g: join_regions(g.drop(["task"]), k, num, den)), EDGE)
     root = written(components(links) if split else links.toDF("id", "root").distinct(), "roots")
+    discard(sized)
     equal = info.where("n > 0 and doc_id is not null").groupBy("n", "sig").agg(F.min("doc_id").alias("equal"))
     none = info.where("doc_id is null").join(equal, ["n", "sig"], "left").select("doc_id", "n", F.col("equal").alias("own"))
     rows = info.where("doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("own")).unionByName(none)

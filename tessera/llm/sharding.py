@@ -7,7 +7,7 @@ floor(k n / shards) on, so the shards' row counts differ by at most one (law ``r
 
 Rows without an id are scattered by a hash of their text. Null texts have size 1 and the CRC of no bytes.
 Equal rows are interchangeable, each is written. An empty table gives an empty result. Any other columns
-travel along. Only one row per bucket (its count) is gathered for the offsets.
+travel along, whatever their names, but for ``shard`` and ``slot``, which the result replaces. Only one row per bucket (its count) is gathered for the offsets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tessera.llm.memory import settled
 from tessera.llm.store import table
 
-BUCKET = "__bucket"
+
+
+def free(name: str, taken: list[str]) -> str:
+    """A column name that the table doesn't have."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def bucket_of(buckets: int, seed: int, id_col: str, text_col: str) -> Column:
@@ -42,32 +48,34 @@ def shuffled_shards(df: DataFrame, shards: int = 8, seed: int = 11, bucket_bytes
     """All columns of ``df`` plus ``shard`` and ``slot`` (gapless from 0 in each shard)."""
     size = df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(size) // bucket_bytes))
-    tagged = df.withColumn(BUCKET, bucket_of(buckets, seed, id_col, text_col))
-    counts = tagged.groupBy(BUCKET).agg(F.count("*").alias("__n"))
+    df = df.drop("shard", "slot")
+    bucket, place, before, every = (free(n, df.columns) for n in ("__bucket", "__place", "__before", "__every"))
+    tagged = df.withColumn(bucket, bucket_of(buckets, seed, id_col, text_col))
+    counts = tagged.groupBy(bucket).agg(F.count("*").alias(every))
+    total = F.sum(every)
     offsets = counts.select(
-        BUCKET,
-        (F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__offset"),
-        F.sum("__n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"),
+        bucket,
+        (total.over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col(every)).alias(before),
+        total.over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(every),
     )
-    schema = StructType([*tagged.schema.fields, StructField("__place", LongType())])
+    schema = StructType([*tagged.schema.fields, StructField(place, LongType())])
     sort_by = [id_col, text_col]
 
     def permute(key: tuple, group: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(group, sort_keys=[(c, "ascending") for c in sort_by])
         swap = fisher_yates(group.num_rows, np.random.default_rng([seed, key[0].as_py()]))
-        return group.take(pa.array(order.to_numpy()[swap])).append_column("__place", pa.array(np.arange(group.num_rows)))
+        return group.take(pa.array(order.to_numpy()[swap])).append_column(place, pa.array(np.arange(group.num_rows)))
 
-    mixed = tagged.groupBy(BUCKET).applyInArrow(settled(permute), schema)
-    place, n = F.col("__place") + F.col("__offset"), F.col("__all")
-    shard = F.expr(f"((__place + __offset + 1) * {shards} - 1) div __all")
-    out = mixed.join(offsets, BUCKET).withColumn("shard", shard.cast("int"))
-    return out.withColumn("slot", place - F.expr(f"(shard * __all) div {shards}")).drop(BUCKET, "__place", "__offset", "__all")
+    mixed = tagged.groupBy(bucket).applyInArrow(settled(permute), schema)
+    at = f"(`{place}` + `{before}`)"
+    out = mixed.join(offsets, bucket).withColumn("shard", F.expr(f"(({at} + 1) * {shards} - 1) div `{every}`").cast("int"))
+    return out.withColumn("slot", F.expr(f"{at} - (shard * `{every}`) div {shards}")).drop(bucket, place, before, every)
 
 
 def write_shards(df: DataFrame, path: str, **options: int) -> None:
-    """Writes each shard as its own folder, in slot order."""
-    out = shuffled_shards(df, **options)
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes each shard as its own folder. A task writes its buckets where they are, in slot order, as files of the few shards that
+    a bucket touches: nothing is gathered for a shard."""
+    shuffled_shards(df, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

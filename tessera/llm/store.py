@@ -5,28 +5,61 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is absent (tests)."""
+    """The cluster's shared folder. Only a local session, where one machine is all there is, may lack the setting."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders written since ``temporary`` began.
+WRITTEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once to the shared folder and reads them back: lineage ends there, and a lost
     executor costs no more than the tasks that it ran."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in WRITTEN[-1:]:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame | None) -> None:
+    """Removes a table of ``written`` that no later step reads."""
+    if df is not None:
+        remove(df.sparkSession, df.written_to)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what ``written`` has kept inside: for a step whose own result is written before."""
+    WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in WRITTEN.pop():
+            remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

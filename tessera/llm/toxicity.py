@@ -6,12 +6,12 @@ and transition weights) is trained on those chains; forward-backward gives each
 are aggregated to a document score by a calibrated logistic of their maximum and sum, and words with a
 marginal of at least one half are joined to spans of UTF-8 byte offsets.
 
-A chain is a sentence (it ends at ``. ! ?`` or a new line); one of more than ``MAX_CHAIN`` words goes on as
-the next chain, so that every word of every text is scored.
+A chain is a sentence (it ends at ``. ! ?`` or a new line) of any length; training alone cuts longer ones at
+``FIT_CHAIN`` words.
 
-Fitted on at most ``max_rows`` labelled rows of each label, the ones with the smallest hash of their id.
-Null and empty texts score as texts without a toxic word. Ties, repeated rows and extra columns have no
-effect. Without rows of both labels the score is the smoothed share of label 1.
+Fitted on at most ``max_rows`` labelled rows of each label, the ones with the smallest hash of their id; an id with
+different labels has none. Null and empty texts score as texts without a toxic word. Rows without an id are scored and count
+as held out. Ties, repeated rows and extra columns have no effect. Without rows of both labels the score is the smoothed share of label 1.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.quality import bounded_labels, crc_mod
+from tessera.llm.quality import crc_mod, first_rows, held, sure_labels
 from tessera.llm.store import broadcast, table
 from tessera.llm.words import Words, chunks, utf8, words_of
 
-MAX_CHAIN, SLOTS, FEATURES = 64, 1 << 16, 4
+FIT_CHAIN, SLOTS, FEATURES = 64, 1 << 16, 4
 EDGE = b".,;:!?\"'()[]*#$%&-"
 
 
@@ -46,8 +46,8 @@ def feature_slots(vocab: list[bytes]) -> np.ndarray:
     return out
 
 
-def chain_starts(w: Words, raw: np.ndarray) -> np.ndarray:
-    """True where a chain begins."""
+def chain_starts(w: Words, raw: np.ndarray, most: int | None = None) -> np.ndarray:
+    """True where a chain begins. ``most``: words after which a chain is cut, for training."""
     n = len(w.codes)
     out = np.zeros(n, bool)
     if not n:
@@ -56,9 +56,11 @@ def chain_starts(w: Words, raw: np.ndarray) -> np.ndarray:
     out[w.first[:-1][w.counts() > 0]] = True
     lines = np.append(0, np.cumsum(raw == 10))
     out[1:] |= stop[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]])
+    if most is None:
+        return out
     index = np.arange(n)
     since = index - np.maximum.accumulate(np.where(out, index, 0))
-    return out | (since % MAX_CHAIN == 0)
+    return out | (since % most == 0)
 
 
 def marginals(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -153,7 +155,7 @@ def fit_crf(texts: list[str | None], labels: np.ndarray, base_rate: float, steps
     bad[cores.get(b"", 0)] &= b"" not in cores
     y = (bad[word] & (labels[doc] == 1)).astype(float)
     # chains with a toxic word, and others as many times four
-    starts = chain_starts(w, raw)
+    starts = chain_starts(w, raw, FIT_CHAIN)
     chain = np.cumsum(starts) - 1
     hot = np.bincount(chain, y, chain[-1] + 1 if len(chain) else 0) > 0
     rng = np.random.default_rng(seed)
@@ -188,8 +190,9 @@ def fit_crf(texts: list[str | None], labels: np.ndarray, base_rate: float, steps
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 1500) -> Crf:
     train = crc_mod(4) != 2
-    all_rows = {r["toxic"]: r["n"] for r in labels.where(train & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = bounded_labels(labels.where("toxic = 1"), "toxic", train, max_rows).union(bounded_labels(labels.where("toxic = 0"), "toxic", train, max_rows))
+    known = sure_labels(labels, "toxic", train)
+    all_rows = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picked = first_rows(known.where("label = 1"), max_rows).union(first_rows(known.where("label = 0"), max_rows))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").toPandas().sort_values("doc_id").drop_duplicates("text")
     n = sum(all_rows.values())
     return fit_crf(rows["text"].tolist(), rows["label"].to_numpy(float), min(max(all_rows.get(1, 0) / n, 1e-3), 1 - 1e-3) if n else 0.5)
@@ -224,4 +227,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str, max_rows: int = 1500, cut: fl
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), max_rows)
     out = score_toxicity(docs, model)
-    return out.select("doc_id", (crc_mod(4) == 2).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "spans")
+    return out.select("doc_id", held(4, 2).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "spans")
