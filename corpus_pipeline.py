@@ -14,7 +14,7 @@ from tessera.llm.decontaminate import without_benchmark
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.pieces import encode_pieces, load_pieces
 from tessera.llm.quality import fit_quality, keep_good
-from tessera.llm.store import shared_dir, table
+from tessera.llm.store import remove, shared_dir, table, temporary
 from tessera.llm.substrings import remove_repeats
 
 
@@ -63,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{i}"
-        out.write.parquet(path)
+        with temporary(spark):  # what a stage keeps on the way goes when its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
