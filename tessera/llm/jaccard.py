@@ -9,7 +9,7 @@ A document is the set of its distinct word shingles; two link where their Jaccar
    set with its nearest pivot (a Voronoi cell) and replicate it where d(x, p) <= d(x, own) + 2e, as the triangle
    inequality asks; this recurs until a region is small, and is then joined by matrix products, skipping what is
    connected already. A region that pivots don't divide goes through cells of its own first.
-   Regions beyond ``region_docs`` are cut into blocks, and each pair of blocks is a task of its own.
+   Regions beyond ``region_docs`` take the same step across tasks: ``join_large``.
 
 Document pivots can't come first: sets of unrelated texts are all about 1 apart, so their windows hold every region.
 The ids and tasks of regions are broadcast up to ``broadcast_rows`` of them; beyond, texts are joined by a shuffle.
@@ -72,10 +72,11 @@ class RegionJoin:
 
     LEAF, PIVOTS, CELLS = 256, 8, 1 << 22
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None):
+        """``known``: labels of sets; those with the same one are connected already."""
         self.sets, self.num, self.den = sets, num, den
         self.size = np.array([len(s) for s in sets])
-        self.root = np.arange(len(sets))
+        self.root = np.arange(len(sets)) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
         self.reach = 2 * (1 - num / den) + 1e-9
         self.divided = 0  # times that pivots divided rows
         self.join(np.arange(len(sets)))
@@ -193,20 +194,28 @@ def numbered(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.bincount(number).astype(np.int32)
 
 
+def sets_of(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """Shingles of each text, made in pieces: a text's words take many times its size."""
+    sets = []
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // (4 << 20)
+    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+    for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):
+        sets += shingles(texts.slice(a, b - a).combine_chunks(), k)
+    return sets
+
+
 def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
-    """One edge from each document to the least one of its component, for the regions of one task."""
+    """One edge from each document to the least one of its component, for the regions of one task. ``known``, if there, names
+    documents that are connected already."""
     group = group.sort_by([("region", "ascending"), ("doc_id", "ascending")])
     region, ids = group["region"].to_numpy(), group["doc_id"].to_numpy()
-    sets = []
-    at = np.cumsum(pc.fill_null(pc.binary_length(group["text"]), 0).to_numpy()) // (4 << 20)
-    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-    for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):  # texts in pieces: their words take many times their size
-        sets += shingles(group["text"].slice(a, b - a).combine_chunks(), k)
+    known = group["known"].to_numpy() if "known" in group.column_names else None
+    sets = sets_of(group["text"], k)
     del group
     edges = []
     cut = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
     for a, b in zip(cut, np.append(cut[1:], len(region)), strict=True):
-        j = RegionJoin(sets[a:b], num, den)
+        j = RegionJoin(sets[a:b], num, den, None if known is None else known[a:b])
         again = np.r_[False, ids[a + 1 : b] == ids[a : b - 1]]
         for i in np.flatnonzero(again).tolist():  # rows of one id are one node
             j.link(i - 1, i)
@@ -214,6 +223,66 @@ def join_regions(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+MEASURED = "doc_id long, region long, own long, cells array<long>, linked array<long>"
+
+
+def measured(group: pa.Table, k: int, num: int, den: int) -> pa.Table:
+    """Distances of a block's documents to the pivots of their region: the nearest pivot, the pivots whose cells a linked document can
+    have, and the pivots that link."""
+    group = group.sort_by([("pivot", "ascending"), ("doc_id", "ascending")])
+    pivot, ids = group["pivot"].to_numpy(zero_copy_only=False), group["doc_id"].to_numpy()
+    region, sets = group["region"].to_numpy(), sets_of(group["text"], k)
+    del group
+    of = np.flatnonzero(pivot)
+    of = of[np.unique(ids[of], return_index=True)[1]]
+    docs = np.flatnonzero(~pivot)
+    size = np.array([len(sets[i]) for i in docs], np.int64)
+    flat, ends = np.concatenate([sets[i] for i in docs] or [np.zeros(0, U64)]), np.append(0, np.cumsum(size))
+    far, links = np.empty((len(docs), len(of))), np.zeros((len(docs), len(of)), bool)
+    for c, p in enumerate(of.tolist()):
+        shared = np.diff(np.append(0, np.cumsum(np.isin(flat, sets[p])))[ends])
+        union = size + len(sets[p]) - shared
+        far[:, c], links[:, c] = 1 - shared / union, den * shared >= num * union
+    reach = far <= far.min(1, keepdims=True) + 2 * (1 - num / den) + 1e-9 if len(of) else links
+    names, arrays = ids[of], pa.list_(pa.int64())
+    return pa.table({
+        "doc_id": pa.array(ids[docs], pa.int64()), "region": pa.array(region[docs], pa.int64()), "own": pa.array(names[far.argmin(1)] if len(docs) else [], pa.int64()),
+        "cells": pa.array([names[r] for r in reach], arrays), "linked": pa.array([names[r] for r in links], arrays),
+    })
+
+
+def join_large(src: DataFrame, large: DataFrame, k: int, num: int, den: int, block_docs: int, pivots: int = 32) -> DataFrame:
+    """Edges (a, b) that connect what is linked in large regions (``doc_id, region, parts``); the regions are dealt over tasks.
+
+    Some documents of a region are its pivots. Every document is measured against them, filed with the nearest, and linked to those
+    that are near enough. That connects most of a region of near copies, so of two documents that may still have to be
+    connected one lies outside the largest component. Such a document goes to all cells in its window,
+    d(x, p) <= d(x, own) + 2e, where it meets every document filed there, in blocks of both.
+    """
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    slot = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(pivots))
+    chosen = large.groupBy("region", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "parts"), F.xxhash64(F.lit(31), "doc_id")).alias("p")).select("region", "p.*")
+    asked = large.withColumn("block", part("parts")).withColumn("pivot", F.lit(False))
+    asked = asked.unionByName(chosen.withColumn("block", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("pivot", F.lit(True)))
+    texts = src.where("doc_id is not null").hint("merge")
+    met = texts.join(asked.drop("parts"), "doc_id").groupBy("region", "block")
+    found = written(met.applyInArrow(settled(lambda g: measured(g.drop(["block"]), k, num, den)), MEASURED), "measured")
+    first = found.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b"))
+    root = components(first)
+    known = found.select("doc_id", "region", "own", "cells").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id")).drop("root")
+    known = written(known.dropDuplicates(["doc_id", "own"]), "known")
+    main = known.groupBy("region", "known").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
+    outside = known.join(main, "region").where("known <> main").select("doc_id", "region", "known", F.explode("cells").alias("cell"))
+    cells = known.groupBy("region", F.col("own").alias("cell")).agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
+    cells = cells.join(outside.groupBy("region", "cell").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("sides")), ["region", "cell"])  # cells that nobody visits are done
+    at = "doc_id", "region", "cell", "known", "block", "side"
+    filed = known.withColumnRenamed("own", "cell").join(cells, ["region", "cell"]).withColumn("block", part("blocks")).withColumn("side", F.explode(F.expr("sequence(0, sides - 1)"))).select(*at)
+    visits = outside.join(cells, ["region", "cell"]).withColumn("side", part("sides")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*at)
+    both = texts.join(filed.unionByName(visits).distinct(), "doc_id").groupBy("region", "cell", "block", "side")
+    second = both.applyInArrow(settled(lambda g: join_regions(g.drop(["cell", "block", "side"]), k, num, den)), EDGE)
+    return root.toDF("a", "b").unionByName(second)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, blocks: int | None = None, task_shingles: int = 1_500_000, region_docs: int = 16_384, broadcast_rows: int = 300_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; the last is the least id that links reach."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,7 +292,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     same = found.where(F.col("kind") == SAME).select("a", "b").distinct()
     edges = components(found.where(F.col("kind") == NEAR).select("a", "b"))
     region = edges.union(edges.select("root", "root").distinct()).toDF("doc_id", "region")
-    # sizes of regions, then tasks: many small regions in one, large ones in pairs of blocks
+    # sizes of regions, then tasks: many small regions in one, large ones in blocks around pivots
     sized = written(region.join(info.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "regions")
     total = sized.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     tasks = max(1, int((total["n"] or 0) // task_shingles) + 1)
@@ -232,13 +301,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     split = not large.isEmpty()
     placed = sized.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks)))
     if split:
-        pairs = sized.join(large, "region").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        pairs = pairs.withColumn("task", -1 - F.pmod(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")), F.lit(1 << 60)))
-        placed = placed.join(large, "region", "left_anti").unionByName(pairs.select(*placed.columns))
+        placed = placed.join(large, "region", "left_anti")
     placed = placed.select("doc_id", "region", "task")
-    placed = F.broadcast(placed) if total["rows"] <= broadcast_rows and not split else placed.hint("merge")
+    placed = F.broadcast(placed) if total["rows"] <= broadcast_rows else placed.hint("merge")
     links = src.where("doc_id is not null").join(placed, "doc_id").groupBy("task").applyInArrow(settled(lambda g: join_regions(g.drop(["task"]), k, num, den)), EDGE)
-    root = written(components(links) if split else links.toDF("id", "root").distinct(), "roots")
+    if split:
+        links = components(links.unionByName(join_large(src, sized.join(large, "region").select("doc_id", "region", "parts"), k, num, den, region_docs // 2))).toDF("a", "b")
+    root = written(links.toDF("id", "root").distinct(), "roots")
     discard(sized)
     equal = info.where("n > 0 and doc_id is not null").groupBy("n", "sig").agg(F.min("doc_id").alias("equal"))
     none = info.where("doc_id is null").join(equal, ["n", "sig"], "left").select("doc_id", "n", F.col("equal").alias("own"))
