@@ -56,8 +56,10 @@ def bucket_bits(blocks: int) -> int:
 
 def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The runs of sorted 64-bit keys that go to each bucket."""
+    if not len(keys):
+        return
     which = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    head = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
     for a, b in zip(head, np.append(head[1:], len(which)), strict=True):
         yield int(which[a]), slice(int(a), int(b))
 

@@ -107,6 +107,8 @@ class Block:
 
 def per_bucket(keys: np.ndarray) -> list[tuple[int, slice]]:
     head = np.flatnonzero(lone(keys >> U64(32)))
+    if not len(head):
+        return []
     return [(int(keys[a] >> U64(32)), slice(a, b)) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(keys)], strict=True)]
 
 
@@ -235,7 +237,7 @@ def candidates(sets: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
             cell, doc = keys[of[order]], block.doc[order]
             raw, wide = block.sketches(num, den)
             at = np.append(0, np.cumsum(wide))[:-1]
-            for b, s in per_bucket(cell) if len(cell) else ():
+            for b, s in per_bucket(cell):
                 own, who = np.unique(doc[s], return_inverse=True)
                 w = wide[own]
                 take = np.repeat(at[own] - np.append(0, np.cumsum(w))[:-1], w) + np.arange(w.sum())
