@@ -263,10 +263,9 @@ class Reader:
                 stack[-1].append(self.render(Template(body)))
             else:
                 stack[-1].append(part)
-        while len(stack) > 1:  # never closed: it stays as it is
-            body = stack.pop()
-            stack[-1] += ["{{", *body]
-        return "".join(stack[0])
+        for body in stack[1:]:  # never closed: it stays as it is
+            body.insert(0, "{{")
+        return "".join(x for body in stack for x in body)
 
     def render(self, t: Template) -> str:
         if re.match(rf"(?:{INFOBOX})\b", t.low) or t.low.endswith(" infobox") or t.low in ("taxobox", "speciesbox"):
@@ -327,17 +326,16 @@ class Reader:
 
     def without_images(self, text: str) -> str:
         """Files, whose captions may hold links."""
+        ends, opened = {}, []
+        for b in re.finditer(r"\[\[|\]\]", text):
+            if b[0] == "[[":
+                opened.append(b.start())
+            elif opened:
+                ends[opened.pop()] = b.end()
         out, at = [], 0
         for m in re.finditer(rf"\[\[\s*(?:{FILE})\s*:", text, re.I):
-            if m.start() < at:
-                continue
-            depth, end = 0, None
-            for b in re.finditer(r"\[\[|\]\]", text[m.start() : m.start() + 10_000]):
-                depth += 1 if b[0] == "[[" else -1
-                if not depth:
-                    end = m.start() + b.end()
-                    break
-            if end is None:
+            end = ends.get(m.start())
+            if m.start() < at or end is None:
                 continue
             out.append(text[at : m.start()])
             self.images.append(image_of(text[m.end() : end - 2]))

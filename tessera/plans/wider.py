@@ -379,6 +379,19 @@ def multi_model_rrf(spark, d):
     return search.fused(lists, 10).select("id", F.round("score", 8).alias("score"), F.size("sources").cast("long").alias("models"))
 
 
+@query(
+    f"""SELECT id, round(sum(p), 8) AS score, array_to_string(list(name ORDER BY name), '+') AS sources FROM (
+ SELECT id, 0.5/(60+row_number() OVER (ORDER BY score DESC, id)) AS p, 'text' AS name FROM ({best_sql()})
+ UNION ALL SELECT id, 0.5/(60+r), 'vector' FROM ({VEC} SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY list_dot_product(e,q) DESC, CAST(id AS VARCHAR)) AS r FROM v, q QUALIFY r <= 20)) GROUP BY id ORDER BY sum(p) DESC, id LIMIT 10"""
+)
+def hybrid_search(spark, d):
+    """Full-text and vector rankings of the same articles, fused; ``sources`` tells which lists hold an article."""
+    v, q = embedded(spark, d)
+    found = search.ranked(search.bm25(articles(spark, d), ASKED, 20, stem=False), F.desc("score"))
+    near = search.ranked(knn.nearest(v.withColumn("id", F.col("id").cast("string")), q, 20, "dot"), F.desc("score"))
+    return search.fused({"text": (found, 0.5), "vector": (near, 0.5)}, 10).select("id", F.round("score", 8).alias("score"), F.array_join("sources", "+").alias("sources"))
+
+
 @query("SELECT label, count(*) AS n, min(len(embedding)) AS dim, max(len(embedding)) AS widest FROM embeddings GROUP BY label")
 def vector_stats(spark, d):
     return t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("dim"), F.max(F.size("embedding")).cast("long").alias("widest"))

@@ -84,3 +84,20 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "T", TEXT), (2, None, None)], "id int, title string, w string").withColumn("d", wikidoc.document(F.col("title"), F.col("w"), NOW))
     one, none = df.orderBy("id").select("d", wikidoc.infobox_field(wikidoc.infobox_of(F.col("d.infoboxes"), "scien"), "Birth-date").alias("b")).collect()
     assert none["d"] is None and one["b"] == "December 10, 1815" and one["d"]["markdown"].startswith("# T\n") and json.loads(one["d"]["json"])["title"] == "T"
+
+
+@pytest.mark.parametrize("piece", ["{{", "[[File:a", "{{a|", "[[File:a|[[b]]"])
+def test_unclosed_markup_grows_in_proportion(piece):
+    """Ten times the markup takes about ten times as long, not a hundred."""
+    took = []
+    for n in (1000, 10_000):
+        begun = time.process_time()
+        wikidoc.parse_document("T", piece * n, NOW)
+        took.append(time.process_time() - begun)
+    assert took[1] < 40 * took[0] + 0.2
+
+
+def test_long_image():
+    text = "a [[File:x.png|thumb|" + "long caption [[link]] " * 1000 + "]] b"
+    found = wikidoc.parse_document("T", text, NOW)
+    assert len(found["images"]) == 1 and "caption" not in found["sections"][0]["text"]
