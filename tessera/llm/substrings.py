@@ -1,17 +1,18 @@
-"""Substring dedup: suffix trees partitioned by prefixes of variable length.
+"""Substring dedup by windows that meet in groups of their prefixes.
 
-The suffixes are those that begin at each word. They are grown level by level, breadth first, and kept only
-while their node has leaves in two documents:
+Only repeats of at least ``width`` words are asked for, so no suffix tree is built: of the suffixes that begin at each word, the
+nodes at depth ``width`` are all that counts, and a window is such a node. They are found in two levels, and kept only while
+two documents share them:
 
 1. A window of ``width`` words holds ``width - PREFIX + 1`` runs of PREFIX words; the run with the least hash
    is the window's prefix group. Equal windows fall into the same group, and about one run in sixteen is such a
    head, so this level is small. A group within one document can't hold a repeat: none of its windows goes on.
-2. Windows of the other groups are grown to ``width`` words: nodes of that depth, named by the hash of their
-   path, with the least document id among their leaves. A window below a node with a smaller document's leaf
-   is a repeat; overlapping ones join to maximal stretches, whose words are removed.
+2. Windows of the other groups are named by the hash of their ``width`` words, with the least document id that holds
+   each. A window that a smaller document holds too is a repeat; overlapping ones join to maximal stretches, whose
+   words are removed.
 
-Groups are dealt by hash ranges into memory-sized buckets, and a block of documents sends a node once with its
-least id, so a passage that a third of all documents share weighs no more than the number of blocks.
+Equality of words and windows is equality of 64-bit hashes. Groups are dealt by hash ranges into buckets, and a block of documents
+sends a window once with its least id, so a passage that a third of all documents share weighs no more than the number of blocks.
 
 Null and empty texts have no words. Rows without an id keep their words and are no source. Rows that repeat an
 id are not repeats of each other. Extra columns are ignored.
