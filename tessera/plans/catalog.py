@@ -373,7 +373,7 @@ def autocomplete(spark, d):
 
 @query()
 def title_scores(spark, d):
-    return t(spark, d, "part").select("p_partkey", text.title_score(F.col("p_name"), "red tin").alias("score"))
+    return t(spark, d, "part").select("p_partkey", F.round(text.title_score(F.col("p_name"), "red tin"), 6).alias("score"))
 
 
 @query()
@@ -381,7 +381,7 @@ def fuzzy_terms(spark, d):
     names = t(spark, d, "part").select("p_name").distinct()
     a, b = names.toDF("a"), names.toDF("b")
     near = a.join(b, (F.substring("a", 1, 3) == F.substring("b", 1, 3)) & (F.col("a") < F.col("b")))
-    return near.withColumn("score", text.jaro_winkler("a", "b")).where("score >= 0.8")
+    return near.withColumn("score", text.jaro_winkler("a", "b")).where("score >= 0.8").withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -405,4 +405,24 @@ def stored_vectors(spark, d):
     return spark.read.parquet(path).select("id", F.col("type").cast("int").alias("type"), "model")
 
 
+# --- results of folds and strings, stated for queries of the catalog ------------------------------------------------
+
+STEPS = "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), "
+SQL["rate_limit_admission"] = STEPS + """s AS (SELECT user_id, event_id, ms, r, true AS allowed, [ms] AS kept FROM o WHERE r = 1 UNION ALL
+ SELECT user_id, event_id, ms, r, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, ms) ELSE kept END FROM (SELECT o.user_id, o.event_id, o.ms, o.r, list_filter(s.kept, lambda k: k > o.ms - 86400000) AS kept FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1))
+ SELECT user_id, ms, event_id, allowed FROM s"""
+SQL["fixed_window_admission"] = STEPS + """s AS (SELECT user_id, event_id, ms, r, ms AS start, 1 AS n FROM o WHERE r = 1 UNION ALL
+ SELECT o.user_id, o.event_id, o.ms, o.r, CASE WHEN o.ms - s.start >= 86400000 THEN o.ms ELSE s.start END, CASE WHEN o.ms - s.start >= 86400000 THEN 1 ELSE s.n + 1 END FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+ SELECT user_id, ms, event_id, n <= 3 AS allowed FROM s"""
+SQL["circuit_breaker"] = STEPS + """s AS (SELECT user_id, event_id, r, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS bad, 0 AS good, 0::BIGINT AS opened FROM o WHERE r = 1 UNION ALL
+ SELECT user_id, event_id, r, CASE WHEN was = 'closed' THEN CASE WHEN NOT ok AND bad + 1 >= 5 THEN 'open' ELSE 'closed' END WHEN was = 'half-open' THEN CASE WHEN NOT ok THEN 'open' WHEN good + 1 >= 3 THEN 'closed' ELSE 'half-open' END ELSE was END,
+  CASE WHEN was = 'closed' THEN CASE WHEN ok THEN 0 ELSE bad + 1 END WHEN was = 'half-open' AND ok AND good + 1 >= 3 THEN 0 ELSE bad END, CASE WHEN was = 'half-open' THEN CASE WHEN ok THEN good + 1 ELSE 0 END ELSE good END,
+  CASE WHEN NOT ok AND (was = 'half-open' OR was = 'closed' AND bad + 1 >= 5) THEN ms ELSE opened END
+ FROM (SELECT o.user_id, o.event_id, o.r, o.ms, o.ok, s.bad, s.opened, CASE WHEN s.state = 'open' AND o.ms - s.opened >= 30000 THEN 0 ELSE s.good END AS good, CASE WHEN s.state = 'open' AND o.ms - s.opened >= 30000 THEN 'half-open' ELSE s.state END AS was FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1))
+ SELECT user_id, event_id, state FROM s"""
+SQL["title_scores"] = """WITH k AS (SELECT p_partkey, trim(lower(p_name)) AS t, 'red tin' AS q FROM part), f AS (SELECT *, len(list_intersect(string_split(t, ' '), ['red','tin'])) AS found, levenshtein(t, q) / greatest(length(t), length(q), 1) AS far FROM k)
+ SELECT p_partkey, CAST(CASE WHEN t = q THEN 1.0 WHEN starts_with(t, q) THEN 0.9 WHEN contains(t, q) THEN 0.7 WHEN found > 0 THEN 0.5 * found / 2 WHEN far < 0.3 THEN round(0.3 * (1 - far), 6) ELSE 0.0 END AS DOUBLE) AS score FROM f"""
+SQL["normalised_terms"] = ARTICLES + r"SELECT id, substr(trim(regexp_replace(strip_accents(replace(replace(replace(replace(lower(title), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')), '[^\p{L}\p{N}]+', ' ', 'g')), 1, 256) AS term FROM articles"
+SQL["fuzzy_terms"] = "WITH n AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name AS a, b.p_name AS b, jaro_similarity(a.p_name, b.p_name) AS j, CASE WHEN substr(a.p_name, 1, 4) = substr(b.p_name, 1, 4) THEN 0.4 ELSE 0.3 END AS head FROM n a JOIN n b ON substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3) AND a.p_name < b.p_name) SELECT a, b, round(j + head * (1 - j), 6) AS score FROM j WHERE j + head * (1 - j) >= 0.8"
+
 NAMES = [n for n in QUERIES if n not in BEFORE] + ["geohashes", "term_hashes"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -22,15 +22,33 @@ def admit_sliding(times: list[int], kept: list[int], limit: int, window: int) ->
     return out
 
 
-def rate_limited(df: DataFrame, key: str, time_ms: str, order: str, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
-    """Adds ``allowed``. A key is one stream of requests, which has to be read in order."""
-    schema = f"{df.select(key, time_ms, order).schema.simpleString()[7:-1]}, allowed:boolean".replace(":", " ").replace(",", ", ")
+def folded(df: DataFrame, key: str, by: list[str], fresh: Callable[[], list], step: Callable[[list, pd.DataFrame], list], name: str, kind: str) -> DataFrame:
+    """Adds a column by a fold over each key's rows in order.
+
+    Rows are dealt by key and sorted by Spark, which spills; they then pass a batch at a time, and only one key's state
+    goes from batch to batch. So a key of any length takes no more memory than a batch.
+    """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([time_ms, order])
-        return g.assign(allowed=admit_sliding(g[time_ms].tolist(), [], limit, window_ms))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = (), fresh()
+        for g in batches:
+            keys = [None if pd.isna(k) else k for k in g[key].tolist()]
+            made, begin = [], 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[begin]:
+                    if last != (keys[begin],):
+                        last, state = (keys[begin],), fresh()
+                    made += step(state, g.iloc[begin:i])
+                    begin = i
+            yield g.assign(**{name: made})
 
-    return df.select(key, time_ms, order).groupBy(key).applyInPandas(fold, schema)
+    return df.repartition(key).sortWithinPartitions(key, *by).mapInPandas(run, StructType([*df.schema.fields]).add(name, kind))
+
+
+def rate_limited(df: DataFrame, key: str, time_ms: str, order: str, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
+    """Adds ``allowed``. A key is one stream of requests, which has to be read in order."""
+    step = lambda kept, g: admit_sliding(g[time_ms].tolist(), kept, limit, window_ms)
+    return folded(df.select(key, time_ms, order), key, [time_ms, order], list, step, "allowed", "boolean")
 
 
 def rate_limited_stream(df: DataFrame, key: str, time_ms: str, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
@@ -45,9 +63,10 @@ def rate_limited_stream(df: DataFrame, key: str, time_ms: str, limit: int = 100,
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, time_ms long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def breaker(events: list[tuple[int, bool]], failures: int = 5, rest_ms: int = 30_000, successes: int = 3) -> list[str]:
-    """The circuit breaker's state after each (time, ok)."""
-    state, bad, good, opened, out = "closed", 0, 0, 0, []
+def breaker(events: list[tuple[int, bool]], failures: int = 5, rest_ms: int = 30_000, successes: int = 3, kept: list | None = None) -> list[str]:
+    """The circuit breaker's state after each (time, ok). ``kept`` goes on from batch to batch."""
+    state, bad, good, opened = kept or ("closed", 0, 0, 0)
+    out = []
     for t, ok in events:
         if state == "open" and t - opened >= rest_ms:
             state, good = "half-open", 0
@@ -62,16 +81,14 @@ def breaker(events: list[tuple[int, bool]], failures: int = 5, rest_ms: int = 30
             elif good >= successes:
                 state, bad = "closed", 0
         out.append(state)
+    if kept is not None:
+        kept[:] = state, bad, good, opened
     return out
 
 
 def breaker_states(df: DataFrame, key: str, time_ms: str, ok: str, order: str) -> DataFrame:
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([time_ms, order])
-        return pd.DataFrame({key: g[key], order: g[order], "state": breaker(list(zip(g[time_ms].tolist(), g[ok].tolist(), strict=True)))})
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, state string")
+    step = lambda kept, g: breaker(list(zip(g[time_ms].tolist(), g[ok].tolist(), strict=True)), kept=kept)
+    return folded(df.select(key, order, time_ms, ok), key, [time_ms, order], list, step, "state", "string").select(key, order, "state")
 
 
 def event_windows(df: DataFrame, time: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -93,13 +110,13 @@ def admit_fixed(times: list[int], start: int | None, count: int, limit: int, win
 
 def rate_limited_fixed(df: DataFrame, key: str, time_ms: str, order: str, limit: int = 100, window_ms: int = 60_000) -> DataFrame:
     """As ``rate_limited``, by fixed windows."""
-    schema = StructType([*df.select(key, time_ms, order).schema.fields]).add("allowed", "boolean")
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([time_ms, order])
-        return g.assign(allowed=admit_fixed(g[time_ms].tolist(), None, 0, limit, window_ms)[0])
+    def step(kept: list, g: pd.DataFrame) -> list[bool]:
+        start, count = kept or (None, 0)
+        out, *kept[:] = admit_fixed(g[time_ms].tolist(), start, count, limit, window_ms)
+        return out
 
-    return df.select(key, time_ms, order).groupBy(key).applyInPandas(fold, schema)
+    return folded(df.select(key, time_ms, order), key, [time_ms, order], list, step, "allowed", "boolean")
 
 
 def write_batches(df: DataFrame, path: str, checkpoint: str, seconds: int = 10):  # noqa: ANN201
