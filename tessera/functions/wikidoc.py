@@ -25,26 +25,109 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 
 # Templates that stand for a text.
 SYMBOLS = {
-    "·": "·", "dot": "·", "middot": "·", "•": " • ", ",": ",", "=": "=", ";": ";", "colon": ":", "pipe": "|", "!": "|", "'": "'", "[": "[", "*": "*", "asterisk": "*",
-    "–": "–", "ndash": "–", "en dash": "–", "—": "—", "mdash": "—", "em dash": "—", "spd": " – ", "snds": " – ", "snd": " – ", "spaced ndash": " – ",
-    "1/2": "1⁄2", "1/3": "1⁄3", "2/3": "2⁄3", "1/4": "1⁄4", "3/4": "3⁄4", "number sign": "#", "no.": "#", "&": "&", "ampersand": "&", "dagger": "†", "double-dagger": "‡",
-    "flat": "♭", "sharp": "♯", "clear": "\n\n", "sp": " ", "thin space": " ", "thinspace": " ", "hair space": " ", "indent": "    ", "quad": "    ",
-    "(": "{", "((": "{{", ")": "}", "))": "}}", "done": "✅", "xmark": "❌", "plusminus": "±", "minusplus": "∓", "pi": "π", "epsilon": "ε",
-    "ya": "✅", "na": "❌", "tba": "TBA", "nom": "Nominated", "n/a": "N/A", "sdash": "—", "dunno": "?", "okay": "Neutral",
+    "·": "·", "dot": "·", "middot": "·", "•": " • ",
+    ",": ",", "=": "=", ";": ";", "colon": ":", "pipe": "|",
+    "!": "|", "'": "'", "\\": " /", "`": "`",
+    "[": "[", "*": "*", "asterisk": "*",
+    "–": "–", "ndash": "–", "en dash": "–",
+    "—": "—", "mdash": "—", "em dash": "—",
+    "spd": " – ", "snds": " – ", "snd": " – ",
+    "spaced ndash": " – ", "long dash": "———",
+    "mdashb": "—‌", "spaced en dash": " –", "spaced en dash space": " – ",
+    "1/2": "1⁄2", "1/3": "1⁄3", "2/3": "2⁄3", "1/4": "1⁄4", "3/4": "3⁄4",
+    "number sign": "#", "hash-tag": "#", "no.": "#",
+    "ibeam": "I", "&": "&", "ampersand": "&",
+    "dagger": "†", "double-dagger": "‡",
+    "^": " ", "-?": "?",
+    "flat": "♭", "sharp": "♯",
+    "lbf": "lbF", "lbm": "lbm",
+    "tombstone": "◻", "ell": "ℓ",
+    "shy": "-",
+    "clear": "\n\n", "zwsp": " ", "sp": " ", "px2": " ",
+    "indent": "    ", "nb5": "    ", "ns": "    ",
+    "quad": "    ", "spaces": "    ", "in5": "     ",
+    "thin space": " ", "thinspace": " ", "very thin space": " ",
+    "word joiner": " ", "figure space": " ", "zero width joiner": " ",
+    "hair space": " ", "narrow no-break space": " ", "non breaking hyphen": "-",
+    "!((": "[[", "))!": "]]",
+    "(": "{", "((": "{{", "(((": "{{{",
+    ")": "}", "))": "}}", ")))": "}}}",
+    "(!": "{|", "!+": "|+", "!-": "|-", "!)": "|}",
+    "1~": "~", "2~": "~~", "3~": "~~~", "4~": "~~~~", "5~": "~~~~~",
+    "goldmedal": "🥇", "silvermedal": "🥈", "bronzemedal": "🥉",
+    "done": "✅", "xmark": "❌", "checked": "✔️",
+    "thumbs up": "👍", "thumbs down": "👎",
+    "profit": "▲",
+    "minusplus": "∓", "plusminus": "±",
+    "langle": "⟨", "rangle": "⟩",
+    "epsilon": "ε", "xi": "𝜉", "Φ": "Φ", "phi": "𝜙", "varphi": "𝜑",
+    "upsilon": "𝜐", "tau": "𝜏", "varsigma": "𝜍", "sigma": "𝜎",
+    "pi": "π", "mu": "𝜇", "lambda": "𝜆", "kappa": "𝜘",
+    "vartheta": "𝜗", "theta": "𝜃", "varepsilon": "𝜀", "gamma": "𝛾",
+    "h.": "ḥ",
 }
 
 # Templates that give back one of their parameters, by its place.
-GIVEN = {
-    **dict.fromkeys(
-        ("p1", "nowrap", "nobr", "nobold", "noitalic", "nocaps", "big", "small", "smaller", "larger", "large", "huge", "mono", "kbd", "var", "mvar", "code", "pre", "defn", "cquote", "pull quote", "tq",
-         "vanchor", "delink", "nowiki", "plain text", "underline", "strikethrough", "overline", "text", "left", "right", "center", "centered", "justify", "highlight", "gloss", "longitem", "date", "abbr", "literal"), 0,
-    ),
-    **dict.fromkeys(("p2", "resize", "lang", "rtl-lang", "line-height", "h", "sort", "color", "background color", "font color", "colored link"), 1), "p3": 2, "l": 2,
+PLACED = {
+    "p1": 0, "p2": 1, "p3": 2,
+    "resize": 1, "lang": 1, "rtl-lang": 1,
+    "line-height": 1, "l": 2, "h": 1,
+    "sort": 1, "color": 1, "background color": 1,
 }
 
+# Templates that give back their first parameter.
+FIRST = (
+    "defn", "lino", "finedetail", "nobold", "noitalic", "nocaps",
+    "vanchor", "rnd", "date", "taste", "monthname",
+    "baseball secondary style", "nowrap", "nobr",
+    "big", "cquote", "pull quote", "smaller", "midsize", "larger",
+    "kbd", "bigger", "large", "mono", "strongbad", "stronggood", "huge",
+    "xt", "xt2", "!xt", "xtn", "xtd", "dc", "dcr",
+    "mxt", "!mxt", "mxtn", "mxtd", "bxt", "!bxt", "bxtn", "bxtd",
+    "delink", "pre", "var", "mvar", "pre2", "code", "char",
+    "angle bracket", "symb", "dabsearch", "key press",
+    "nowiki", "nowiki2", "unstrip", "unstripnowiki",
+    "plain text", "make code", "killmarkers",
+    "longitem", "longlink", "strikethrough", "underline", "uuline",
+    "not a typo", "text", "var serif", "double underline",
+    "nee", "ne", "left", "right", "center", "centered", "justify",
+    "smalldiv", "bold div", "monodiv", "italic div", "bigdiv",
+    "strikethroughdiv", "strikethrough color",
+    "pbpe", "video game release/abbr", "nobel abbr",
+    "gloss", "gcl", "overline", "overarc", "normal", "norm",
+    "tmath", "vec", "subst", "highlight", "tq",
+    "subst:nft", "subst:nwft", "subst:nfa",
+)
+
+# Cells of tables with a text of their own.
+CELL_TEXTS = {
+    "active fire": "Active", "site active": "Active",
+    "site inactive": "Inactive", "yes2": "", "no2": "",
+    "ya": "✅", "na": "❌", "nom": "Nominated",
+    "sho": "Shortlisted", "tba": "TBA", "maybecheck": "✔️",
+    "okay": "Neutral", "n/a": "N/A", "sdash": "—",
+    "dunno": "?", "draw": "", "cnone": "", "nocontest": "",
+}
+
+# Templates that stand for their name.
+PRONOUNS = (
+    "they", "them", "their", "theirs", "themself",
+    "they are", "they were", "they have", "they do",
+    "he or she", "him or her", "his or her", "his or hers",
+    "he/she", "him/her", "his/her",
+)
+
+#: The tables together, and a few more that give back a parameter.
+GIVEN = PLACED | dict.fromkeys((*FIRST, "small", "abbr", "literal"), 0) | dict.fromkeys(("font color", "colored link"), 1)
+
 # Signs of currencies.
 CURRENCY = {"£": "GB£", "€": "€", "¥": "¥", "₹": "₹", "usd": "US$", "us$": "US$", "gbp": "GB£", "eur": "€", "jpy": "¥", "cny": "CN¥", "inr": "₹", "rub": "₽", "aud": "A$", "cad": "CA$", "chf": "CHF", "krw": "₩"}
-SENTENCE_ABBREVIATIONS = {"mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "inc", "ltd", "no", "vol", "b", "d", "c"}
+# Abbreviations that don't end a sentence.
+SENTENCE_ABBREVIATIONS = (
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "esp", "eg", "ie", "inc", "ltd", "co", "corp", "st", "mt", "ft", "gen", "gov",
+    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "no", "vol", "pp", "ca",
+)
+# Fields of citations.
 CITATION_FIELDS = ("title", "url", "publisher", "work", "newspaper", "journal", "website", "encyclopedia")
 
 
@@ -287,7 +370,11 @@ class Reader:
         if t.low in RENDER:
             return RENDER[t.low](t, self.as_of)
         place = GIVEN.get(t.low)
-        return t.list[place] if place is not None and place < len(t.list) else SYMBOLS.get(t.low, "")
+        if place is not None and place < len(t.list):
+            return t.list[place]
+        if t.low in CELL_TEXTS:
+            return t.list[0] if t.list else CELL_TEXTS[t.low]
+        return t.low if t.low in PRONOUNS else SYMBOLS.get(t.low, "")
 
     def without_references(self, text: str) -> str:
         """In the order of the text; a reuse takes the definition wherever it stands."""
@@ -466,7 +553,7 @@ def sentences(text: str, most: int | None = None) -> list[str]:
     out, at = [], 0
     for m in re.finditer(r"[.!?]+[\"')\]]*(?=\s|$)", text):
         word = re.search(r"([\w.]+)$", text[max(at, m.start() - 20) : m.start()])
-        if m[0] == "." and word and (word[1].lower() in SENTENCE_ABBREVIATIONS or re.fullmatch(r"[A-Z]", word[1])):
+        if m[0] == "." and word and (word[1].lower() in SENTENCE_ABBREVIATIONS or re.fullmatch(r"(?:\w\.)*\w", word[1])):
             continue
         piece = text[at : m.end()].strip()
         at = m.end()
