@@ -405,6 +405,29 @@ def stored_vectors(spark, d):
     return spark.read.parquet(path).select("id", F.col("type").cast("int").alias("type"), "model")
 
 
+NEAR_SQL = "(SELECT DISTINCT p_name AS id, len(list_intersect(string_split(p_name, ' '), string_split('{0}', ' '))) / len(list_distinct(list_concat(string_split(p_name, ' '), string_split('{0}', ' ')))) AS score FROM part)"
+
+
+def tier_sql(asked: str, k: int) -> str:
+    return f"""SELECT '{asked}' AS asked, id, round(score, 6) AS score, source FROM (WITH a AS (SELECT id, score FROM {NEAR_SQL.format(asked)} WHERE score > 0 ORDER BY score DESC, id LIMIT {k}),
+ b AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings ORDER BY score DESC, id LIMIT {k}),
+ s AS (SELECT CASE WHEN (SELECT count(*) FROM a) >= {k} AND (SELECT max(score) FROM a) > 0.9 THEN 'inline' WHEN (SELECT count(*) FROM b) > 0 THEN 'cached' ELSE 'partial' END AS source)
+ SELECT id, score, source FROM a, s WHERE source <> 'cached' UNION ALL SELECT id, score, source FROM b, s WHERE source = 'cached')"""
+
+
+@query(" UNION ALL ".join(tier_sql(q, 5) for q in ("red widget", "no such words")))
+def tiered_search(spark, d):
+    """Names that share words with the question; where they are too few or too far, the nearest vectors."""
+    v, q = embedded(spark, d)
+    vectors_ = knn.nearest(v.withColumn("id", F.col("id").cast("string")), q, 5, "dot").select("id", "score")
+    names = t(spark, d, "part").select(F.col("p_name").alias("id")).distinct()
+    parts = []
+    for asked in ("red widget", "no such words"):
+        near = names.withColumn("score", search.word_jaccard(F.col("id"), F.lit(asked))).where("score > 0")
+        parts.append(search.tiered(near, vectors_, 5).select(F.lit(asked).alias("asked"), "id", F.round("score", 6).alias("score"), "source"))
+    return parts[0].unionByName(parts[1])
+
+
 # --- results of folds and strings, stated for queries of the catalog ------------------------------------------------
 
 STEPS = "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), "
