@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from tessera.functions import geo, geocells, hashes, text, vectors
+from tessera.functions import geo, geocells, hashes, text, vectors, wikidoc
 from tessera.operators import fts_index, indexes, knn, search, storage
 from tessera.plans import catalog
 from tessera.plans.catalog import ARTICLES, FTS, LOG, PLACES, QUERIES, SQL, VEC, articles, embedded, log, places, query, t
@@ -428,6 +429,31 @@ def tiered_search(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+DOT = "list_dot_product(e,q)"
+
+
+@query(VEC + f", near AS (SELECT id, label, {DOT} AS s FROM v, q ORDER BY s DESC, id LIMIT 50) SELECT id, round(s, 6) AS score FROM near WHERE label IN (1,2) ORDER BY s DESC, id LIMIT 10")
+def knn_post_filter(spark, d):
+    """The filter after 50 candidates: fewer than ten may be left."""
+    v, q = embedded(spark, d)
+    return knn.nearest(v, q, 50, "dot").where("label in (1,2)").orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(VEC + f"SELECT id, round({DOT}, 6) AS score FROM v, q WHERE id IN (SELECT p_partkey FROM part WHERE p_size > 25) AND {DOT} >= 0.05 ORDER BY {DOT} DESC, id LIMIT 10")
+def knn_of_ids(spark, d):
+    """Only ids of another table, and only scores from a least one on."""
+    v, q = embedded(spark, d)
+    some = v.join(t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id")), "id", "left_semi")
+    return knn.nearest(some, q, 10, "dot").where("score >= 0.05").select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT n_nationkey AS id, n_name || ' in ' || n_nationkey || '.' AS summary, 1 AS boxes, 1 AS links, r_name AS category FROM nation JOIN region ON n_regionkey = r_regionkey")
+def wiki_parts(spark, d):
+    """The parts of an article that are asked for by name: summary, infobox, links, categories."""
+    doc = catalog.wiki(spark, d).withColumn("d", wikidoc.document(F.lit("T"), F.col("w"), date(2024, 6, 15)))
+    return doc.select("id", F.col("d.summary").alias("summary"), F.size("d.infoboxes").alias("boxes"), F.size("d.links").alias("links"), F.element_at("d.categories", 1).alias("category"))
+
+
 # --- results of folds and strings, stated for queries of the catalog ------------------------------------------------
 
 STEPS = "WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), "
