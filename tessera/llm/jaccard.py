@@ -270,7 +270,8 @@ def join_large(src: DataFrame, large: DataFrame, k: int, num: int, den: int, blo
     first = found.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b"))
     root = components(first)
     known = found.select("doc_id", "region", "own", "cells").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id")).drop("root")
-    known = written(known.dropDuplicates(["doc_id", "own"]), "known")
+    same = known.groupBy("doc_id", "region", "own", "known").agg(F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))  # an id may have several texts
+    known = written(same, "known")
     main = known.groupBy("region", "known").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
     outside = known.join(main, "region").where("known <> main").select("doc_id", "region", "known", F.explode("cells").alias("cell"))
     cells = known.groupBy("region", F.col("own").alias("cell")).agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
