@@ -7,7 +7,8 @@ floor(k n / shards) on, so the shards' row counts differ by at most one (law ``r
 
 Rows without an id are scattered by a hash of their text. Null texts have size 1 and the CRC of no bytes.
 Equal rows are interchangeable, each is written. An empty table gives an empty result. Any other columns
-travel along, whatever their names, but for ``shard`` and ``slot``, which the result replaces. Only one row per bucket (its count) is gathered for the offsets.
+travel along, whatever their names, but for ``shard`` and ``slot``, which the result replaces. Only one row per bucket (its count) is gathered for the
+offsets, which are broadcast: rows are shuffled once, into their buckets.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def shuffled_shards(df: DataFrame, shards: int = 8, seed: int = 11, bucket_bytes
 
     mixed = tagged.groupBy(bucket).applyInArrow(settled(permute), schema)
     at = f"(`{place}` + `{before}`)"
-    out = mixed.join(offsets, bucket).withColumn("shard", F.expr(f"(({at} + 1) * {shards} - 1) div `{every}`").cast("int"))
+    # the offsets go to the rows: a join by shuffle would write every text a second time
+    out = mixed.join(F.broadcast(offsets), bucket).withColumn("shard", F.expr(f"(({at} + 1) * {shards} - 1) div `{every}`").cast("int"))
     return out.withColumn("slot", F.expr(f"{at} - (shard * `{every}`) div {shards}")).drop(bucket, place, before, every)
 
 
