@@ -307,7 +307,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = F.broadcast(placed) if total["rows"] <= broadcast_rows else placed.hint("merge")
     links = src.where("doc_id is not null").join(placed, "doc_id").groupBy("task").applyInArrow(settled(lambda g: join_regions(g.drop(["task"]), k, num, den)), EDGE)
     if split:
-        links = components(links.unionByName(join_large(src, sized.join(large, "region").select("doc_id", "region", "parts"), k, num, den, region_docs // 2))).toDF("a", "b")
+        links = components(links.unionByName(join_large(src, sized.join(large, "region").select("doc_id", "region", "parts"), k, num, den, max(1, region_docs // 2)))).toDF("a", "b")
     root = written(links.toDF("id", "root").distinct(), "roots")
     discard(sized)
     equal = info.where("n > 0 and doc_id is not null").groupBy("n", "sig").agg(F.min("doc_id").alias("equal"))
