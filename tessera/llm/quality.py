@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.llm.memory import settle, settled
 from tessera.llm.store import broadcast, discard, table, written
 from tessera.llm.words import chunks, utf8, words_of
 
@@ -226,6 +227,14 @@ def numbers(x: pa.Array, width: int) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at once, so that temporary arrays stay small; freed memory is given back after each batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        settle()
+
+
 def quality_features(docs: DataFrame) -> DataFrame:
     """``doc_id, x`` of every row."""
 
@@ -264,7 +273,7 @@ def fit_rows(rows: DataFrame, width: int, ridge: float = 1e-3, cut: float = 0.3)
     def sums(w: np.ndarray) -> list[dict[int, np.ndarray]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[tuple[int, int], np.ndarray] = {}
-            for b in batches:
+            for b in slices(batches):
                 z, y = standard(numbers(b.column("x"), width), mean, scale), b.column("label").to_numpy()
                 for k in (0, 1):
                     mine = z[y == k]
@@ -280,7 +289,7 @@ def fit_rows(rows: DataFrame, width: int, ridge: float = 1e-3, cut: float = 0.3)
             return group.slice(0, 1).set_column(3, "sums", arrays(v.reshape(1, -1)))
 
         out: list[dict[int, np.ndarray]] = [{}, {}]
-        for r in rows.mapInArrow(run, CELLS).groupBy("label", "cell").applyInArrow(add, CELLS).toArrow().to_batches():
+        for r in rows.mapInArrow(run, CELLS).groupBy("label", "cell").applyInArrow(settled(add), CELLS).toArrow().to_batches():
             for k, c, v in zip(r["label"].to_pylist(), r["cell"].to_pylist(), r["sums"], strict=True):
                 out[k][c] = v.values.to_numpy().reshape(DEGREE, -1)
         return out
@@ -288,7 +297,7 @@ def fit_rows(rows: DataFrame, width: int, ridge: float = 1e-3, cut: float = 0.3)
     w = least_loss(sums, width, ridge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(strengths(standard(numbers(b.column("x"), width), mean, scale), w))], ["s"])
 
     scores = written(rows.mapInArrow(run, "s double"), "strengths")
@@ -313,7 +322,7 @@ def score_features(found: DataFrame, model: PairwiseModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = load()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ranker.score(numbers(b.column("x"), len(NAMES))), pa.float64())], ["doc_id", "score"])
 
     return found.mapInArrow(run, "doc_id long, score double")
