@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import classify, embedding, logs, vectors, wikidoc
 from tessera.operators import clusters, graph, search, storage
 from tessera.plans.catalog import ARTICLES, LOG, VEC, articles, embedded, log, query, t
-from tessera.streaming.state import rate_limited_fixed
+from tessera.streaming.state import millis, rate_limited_fixed
 
 BOXES = ["football player", "french city", "rock album", "korean film", "summer olympics", "dog breed", "fc company"]
 BOX_SQL = f"{BOXES}[CAST(p_partkey % 8 + 1 AS INT)]"  # the eighth is null
@@ -66,7 +66,7 @@ def traced(spark, d):
     request = F.struct(F.concat(F.lit("https://x/"), "event_type").alias("url"), F.lit("GET").alias("method"), F.struct(F.lit("AMS").alias("colo"), F.lit("NL").alias("country")).alias("cf"))
     return e.select(
         "event_id", F.when(F.col("event_id") % 2 == 0, "api").alias("scriptName"), F.when(F.col("event_id") % 7 == 0, "exceededCpu").otherwise("ok").alias("outcome"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("eventTimestamp"), F.struct(request.alias("request")).alias("event"), F.array(note).alias("logs"),
+        millis(F.col("ts")).alias("eventTimestamp"), F.struct(request.alias("request")).alias("event"), F.array(note).alias("logs"),
         F.filter(F.array(failure), lambda _: bad).alias("exceptions"), F.array(F.struct(F.col("value").alias("cpuTime"))).alias("diagnosticsChannelEvents"),
     )
 
@@ -190,7 +190,7 @@ def word_overlap(spark, d):
 
 @query()
 def fixed_window_admission(spark, d):
-    e = t(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
+    e = t(spark, d, "events").select("user_id", millis(F.col("ts")).alias("ms"), "event_id")
     return rate_limited_fixed(e, "user_id", "ms", "event_id", limit=3, window_ms=86_400_000)
 
 

@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
+def millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a time without zone, rounded down. The session's zone has no part in it: hours that a zone
+    skips or repeats stay apart."""
+    since = ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return (part("DAY").cast("long") * 86_400_000 + part("HOUR") * 3_600_000 + part("MINUTE") * 60_000 + F.floor(part("SECOND") * 1000)).cast("long")
+
+
 def admit_sliding(times: list[int], kept: list[int], limit: int, window: int) -> list[bool]:
     """Which requests pass; refused ones are not recorded. ``kept`` is updated in place."""
     out = []

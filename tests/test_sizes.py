@@ -1,9 +1,13 @@
 """Queries whose results or tasks went wrong on larger tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import tessera.plans.more  # noqa: F401  adds its queries to the catalog
+import tessera.plans.wider  # noqa: F401
 from tessera.operators import storage
+from tessera.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture
@@ -26,3 +30,17 @@ def test_batches_of_wide_rows(spark, settings, tmp_path):
     spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide")).repartition(7).write.parquet(str(tmp_path / "rows"))
     got = storage.batched(spark.read.parquet(str(tmp_path / "rows")), [F.col("id")], 64).select("batch", F.transform("items", lambda x: x["id"]).alias("i")).orderBy("batch").collect()
     assert [(r["batch"], r["i"]) for r in got] == [(b, list(range(64 * b, min(64 * b + 64, 20_000)))) for b in range(313)]
+
+
+@pytest.mark.parametrize("name", ["sliding_arrivals", "fixed_window_admission", "hourly_snapshot", "error_ring", "session_windows"])
+def test_no_zone_in_event_times(spark, settings, tmp_path, name):
+    """Hours that the session's zone skips or repeats are hours of the events."""
+    settings("spark.sql.session.timeZone", "America/New_York")
+    con = duckdb.connect()
+    con.sql(f"""copy (select i as event_id, case when i % 50 = 0 then null else timestamp '2024-03-09 00:00:00.0005' + i * interval 97 second + (i % 2) * interval 239 day end as ts,
+     i % 5 as user_id, 'error' as event_type, 1.0 as value, '{{}}' as props from range(4000) r(i)) to '{tmp_path}/events.parquet' (format parquet)""")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'" + (" where ts is not null" if name != "sliding_arrivals" else ""))
+    con.sql(f"copy (select * from events) to '{tmp_path}/kept.parquet' (format parquet)")
+    (tmp_path / "kept.parquet").replace(tmp_path / "events.parquet")
+    df, want = QUERIES[name](spark, str(tmp_path)), con.sql(SQL[name])
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want.project(", ".join(df.columns)).fetchall()))
