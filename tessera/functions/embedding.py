@@ -27,14 +27,22 @@ ENTITY_FIELDS = (
 
 
 def hashing_embedder(dim: int, salt: str = "") -> Embed:
-    """Works without a network: words are hashed to signed places; vectors have length one, those of empty texts are zero."""
+    """Works without a network: words are hashed to signed places; vectors have length one, those of texts without words are zero.
+    Where the words of a text cancel out, its least word stands for it."""
+
+    def place(w: str) -> tuple[int, int]:
+        h = int.from_bytes(hashlib.blake2b(f"{salt}{w}".encode(), digest_size=8).digest(), "little")
+        return (h >> 1) % dim, 1 if h & 1 else -1
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(f"{salt}{w}".encode(), digest_size=8).digest(), "little")
-                out[i, (h >> 1) % dim] += 1 if h & 1 else -1
+            found = re.findall(r"\w+", t.lower())
+            for w in found:
+                at, sign = place(w)
+                out[i, at] += sign
+            if found and not out[i].any():
+                at, out[i, at] = place(min(found))
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size == 0, 1, size)
 

@@ -44,3 +44,11 @@ def test_no_zone_in_event_times(spark, settings, tmp_path, name):
     (tmp_path / "kept.parquet").replace(tmp_path / "events.parquet")
     df, want = QUERIES[name](spark, str(tmp_path)), con.sql(SQL[name])
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want.project(", ".join(df.columns)).fetchall()))
+
+
+def test_words_that_cancel_out(spark, tmp_path):
+    """The signed places of "bi" and "ho" are the same with opposite signs."""
+    con = duckdb.connect()
+    con.sql(f"copy (select * from (values (1::bigint, 'bi ho'), (2, 'Ho bi.\n\nx'), (3, 'many other words'), (4, '--'), (5, null)) v(doc_id, text), (select 'en' as lang, 's' as source, 9::bigint as n_chars)) to '{tmp_path}/documents.parquet' (format parquet)")
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert sorted(tuple(r) for r in QUERIES["embedded_articles"](spark, str(tmp_path)).collect()) == sorted(con.sql(SQL["embedded_articles"]).fetchall())
