@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import tessera.plans.more  # noqa: F401  adds its queries to the catalog
 import tessera.plans.wider  # noqa: F401
-from tessera.operators import storage
+from tessera.functions import text
+from tessera.operators import search, storage
 from tessera.plans.catalog import QUERIES, SQL
 
 
@@ -52,3 +53,20 @@ def test_words_that_cancel_out(spark, tmp_path):
     con.sql(f"copy (select * from (values (1::bigint, 'bi ho'), (2, 'Ho bi.\n\nx'), (3, 'many other words'), (4, '--'), (5, null)) v(doc_id, text), (select 'en' as lang, 's' as source, 9::bigint as n_chars)) to '{tmp_path}/documents.parquet' (format parquet)")
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
     assert sorted(tuple(r) for r in QUERIES["embedded_articles"](spark, str(tmp_path)).collect()) == sorted(con.sql(SQL["embedded_articles"]).fetchall())
+
+
+TEXTS = ["The Cat_sat, on 2 mats", "İstanbul and ȺB Kelvin x", "naïve façade × ÷ ß", "a–b — “quoted” naïve", "ĀB āc Ḁẞ", "KK Ångström", "x" * 51 + " " + "y" * 50, "tab\tnbsp x1\u0085zz\x1cqq", "", "ΣΑΣ abc ΣΑ", "日本語 go", "ǅungla", "áb ªº µm"]
+
+
+def test_words_in_workers(spark):
+    """Python workers cut texts into the words that the column expression gives."""
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS)], "i int, t string")
+    assert [r["w"] for r in df.select("i", text.words(F.col("t")).alias("w")).orderBy("i").collect()] == [text.words_of(x) for x in TEXTS]
+
+
+def test_texts_are_cut_in_workers(spark):
+    """Rankings and vocabularies leave no text to be cut by interpreted column expressions."""
+    a = spark.createDataFrame([("1", x, None, x) for x in TEXTS], "id string, title string, description string, content string")
+    for df in (search.bm25(a, "cat naïve"), search.vocabulary(a), search.corpus_stats(a)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "regexp_extract_all" not in plan
