@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import tessera.plans.more  # noqa: F401  adds its queries to the catalog
 import tessera.plans.wider  # noqa: F401
 from tessera.functions import text
-from tessera.operators import search, storage
+from tessera.operators import fts_index, search, storage
 from tessera.plans.catalog import QUERIES, SQL
 
 
@@ -70,3 +70,23 @@ def test_texts_are_cut_in_workers(spark):
     for df in (search.bm25(a, "cat naïve"), search.vocabulary(a), search.corpus_stats(a)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+
+
+def test_index_is_inverted_where_it_is_read(spark, tmp_path, monkeypatch):
+    """No posting is shuffled, segments end with few words, positions stay, and an empty index can be read."""
+    monkeypatch.setattr(fts_index, "WORDS", 5)
+    a = spark.createDataFrame([(str(i), x, None, f"the {x} cat") for i, x in enumerate(TEXTS * 40)], "id string, title string, description string, content string").repartition(2).localCheckpoint()
+    assert "Exchange" not in fts_index.indexed(a, False)._jdf.queryExecution().executedPlan().toString()
+    one, two, none = (str(tmp_path / x) for x in ("one", "two", "none"))
+    fts_index.build(a, one, stem=False, buckets=4)
+    fts_index.removed(spark, one, a.where("cast(id as int) % 3 = 0"), two, buckets=4)
+    rows, docs = fts_index.read(spark, two)
+    assert rows.select("segment").distinct().count() > 2
+    got = rows.select("segment", "term", F.explode(F.arrays_zip("ords", "fields", "tfs")).alias("p")).select("segment", "term", F.col("p.ords").alias("ord"), "p.fields", "p.tfs").join(docs, ["segment", "ord"])
+    posts = search.postings(a.where("cast(id as int) % 3 <> 0"), stem=False)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    fields = F.element_at(F.array(F.lit("title"), F.lit("description"), F.lit("content")), F.col("fields").cast("int") + 1)
+    assert key(got.select("id", fields, "term", "tfs")) == key(posts.select("id", "field", "term", "tf"))
+    assert rows.agg(F.sum(F.size("positions")), F.sum(F.aggregate("positions", F.lit(0), lambda s, x: s + x))).first() == posts.select(F.explode("positions").alias("x")).agg(F.count("*"), F.sum("x")).first()
+    fts_index.build(a.limit(0), none, buckets=4)
+    assert fts_index.search(spark, none, "cat", buckets=4).count() == 0
