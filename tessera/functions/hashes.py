@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DecimalType, LongType
@@ -31,20 +33,35 @@ def fnv1a_64(s: pd.Series) -> pd.Series:
     return s.map(lambda t: Decimal(fnv1a(t.encode())), na_action="ignore")
 
 
-def utf16(c: Column) -> Column:
-    """The UTF-16 units of a text, as numbers."""
-    code = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    pair = lambda x: F.array(F.lit(0xD800) + F.shiftright(x - 0x10000, 10), F.lit(0xDC00) + (x - 0x10000) % 1024)
-    return F.flatten(F.transform(code, lambda x: F.when(x >= 0x10000, pair(x)).otherwise(F.array(x))))
+def folded_units(texts: pd.Series, step: Callable[[np.ndarray, np.ndarray], np.ndarray], start: int) -> pd.Series:
+    """A 32-bit fold over the UTF-16 units of each text, a place of all texts at a time; longest first, so none is padded. Nulls stay."""
+    out = pd.Series(pd.array([None] * len(texts), "Int64"), index=texts.index)
+    for at in range(0, len(texts), 1024):
+        here = texts.iloc[at : at + 1024].dropna()
+        raw = here.map(lambda t: t.encode("utf-16-le"))
+        size = raw.str.len().to_numpy(np.int64) // 2
+        order = np.argsort(-size, kind="stable")
+        units = np.frombuffer(b"".join(raw), "<u2").astype(np.uint64)
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        h, left = np.full(len(here), start, np.uint64), len(here)
+        for i in range(int(size[0]) if len(size) else 0):
+            left = int(np.searchsorted(-size[:left], -i, "left"))  # those with more than i units
+            h[:left] = step(h[:left], units[begin[:left] + i])
+        back = np.empty(len(here), np.int64)
+        back[order] = h
+        out.loc[here.index] = back
+    return out
 
 
-def djb2_32(c: Column) -> Column:
-    return F.aggregate(utf16(c), F.lit(5381).cast("long"), lambda h, x: (h * 33 + x) % (1 << 32))
+@F.pandas_udf(LongType())
+def djb2_32(s: pd.Series) -> pd.Series:
+    return folded_units(s, lambda h, x: (h * np.uint64(33) + x) & np.uint64(0xFFFFFFFF), 5381)
 
 
-def fnv1a_32(c: Column) -> Column:
+@F.pandas_udf(LongType())
+def fnv1a_32(s: pd.Series) -> pd.Series:
     """Over UTF-16 units, as a number without sign."""
-    return F.aggregate(utf16(c), F.lit(2166136261).cast("long"), lambda h, x: h.bitwiseXOR(x) * 16777619 % (1 << 32))
+    return folded_units(s, lambda h, x: (h ^ x) * np.uint64(16777619) & np.uint64(0xFFFFFFFF), 2166136261)
 
 
 def fnv1a_32_rounded(text: str) -> int:
@@ -64,8 +81,8 @@ def fnv1a_32_float(s: pd.Series) -> pd.Series:
 
 def bloom_positions(h1: Column, h2: Column, bits: int, hashes: int, modulus: int | None = None) -> Column:
     """Double hashing: (h1 + i h2) mod bits for each i; sums wrap at ``modulus`` first, where given."""
-    total = lambda i: (h1 + i.cast("long") * h2) % modulus if modulus else h1 + i.cast("long") * h2
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: total(i) % bits)
+    total = lambda i: (h1 + i * h2) % modulus if modulus else h1 + i * h2
+    return F.array(*[total(F.lit(i).cast("long")) % bits for i in range(hashes)])
 
 
 def title_positions(title: Column, keys: int) -> Column:
@@ -79,9 +96,10 @@ def term_positions(normalised: str, hashes: int, bits: int) -> list[int]:
     return [(h1 + i * h2) % (1 << 64) % bits for i in range(hashes)]
 
 
-def bloom_filter(keys: DataFrame, positions: Column) -> DataFrame:
-    """The set bits, ``bit``: a table, so it is as large as the keys need and is made where they are."""
-    return keys.select(F.explode(positions).alias("bit")).distinct()
+def bloom_filter(keys: DataFrame, key: str, positions: Callable[[Column], Column]) -> DataFrame:
+    """The set bits, ``bit``: a table, so it is as large as the keys need and is made where they are. Equal keys are hashed once, and
+    the distinct ones are dealt to all tasks before that."""
+    return keys.select(key).distinct().select(F.explode(positions(F.col(key))).alias("bit")).distinct()
 
 
 def maybe_held(asked: DataFrame, positions: Column, bits: DataFrame, key: str) -> DataFrame:

@@ -34,6 +34,6 @@ def with_presence(asked: DataFrame, ids: DataFrame) -> DataFrame:
 def looked_up(asked: DataFrame, index: DataFrame, keys: int) -> DataFrame:
     """``title, id, type``: titles that the filter surely lacks never reach the join; the others are settled by it."""
     want = asked.select("title", title_key(F.col("title")).alias("key")).distinct()
-    bits = bloom_filter(index.select("key"), title_positions(F.col("key"), keys))
+    bits = bloom_filter(index, "key", lambda c: title_positions(c, keys))
     some = maybe_held(want, title_positions(F.col("key"), keys), bits, "key")
     return asked.join(some.join(index, "key").select("title", "id", "type"), "title", "left").select("title", "id", "type")

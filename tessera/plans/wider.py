@@ -196,7 +196,7 @@ def article_places(spark, d):
 
 @query(f"WITH h AS (SELECT {FNV.format('p_name')} AS a, {FNV.format('p_name || p_name')} AS b FROM part), p AS (SELECT unnest(list_transform(range(0, 7), lambda i: (a + i * b) % 20000)) AS bit FROM h) SELECT count(DISTINCT bit) AS bits FROM p")
 def filter_bits(spark, d):
-    return hashes.bloom_filter(t(spark, d, "part"), hashes.title_positions(F.col("p_name"), 2000)).agg(F.count("*").alias("bits"))
+    return hashes.bloom_filter(t(spark, d, "part"), "p_name", lambda c: hashes.title_positions(c, 2000)).agg(F.count("*").alias("bits"))
 
 
 # --- results, pages and counters --------------------------------------------------------------------------------

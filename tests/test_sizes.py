@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import tessera.plans.more  # noqa: F401  adds its queries to the catalog
 import tessera.plans.wider  # noqa: F401
-from tessera.functions import text
+from tessera.functions import geocells, hashes, text
 from tessera.operators import fts_index, search, storage
 from tessera.plans.catalog import QUERIES, SQL
 
@@ -90,3 +90,12 @@ def test_index_is_inverted_where_it_is_read(spark, tmp_path, monkeypatch):
     assert rows.agg(F.sum(F.size("positions")), F.sum(F.aggregate("positions", F.lit(0), lambda s, x: s + x))).first() == posts.select(F.explode("positions").alias("x")).agg(F.count("*"), F.sum("x")).first()
     fts_index.build(a.limit(0), none, buckets=4)
     assert fts_index.search(spark, none, "cat", buckets=4).count() == 0
+
+
+def test_equal_keys_are_hashed_once(spark):
+    """Keys of a filter are made distinct, and dealt to all tasks, before they are hashed."""
+    df = spark.range(10).select((F.col("id") % 3).cast("string").alias("k"))
+    bits = hashes.bloom_filter(df, "k", lambda c: hashes.title_positions(c, 5))
+    plan = bits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("fnv1a_32") :]
+    assert {r["bit"] for r in bits.collect()} == {(hashes.fnv1a(k, 32) + i * hashes.fnv1a(k + k, 32)) % 50 for k in (b"0", b"1", b"2") for i in range(7)}
