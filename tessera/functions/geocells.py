@@ -8,6 +8,8 @@ from tessera.functions.geo import BASE32, EARTH_M, haversine
 
 #: Metres of a degree in the flat measure that chooses the cells of a circle.
 FLAT_M = 111_320
+#: Points of a cell that meet its centres in one task, and the tasks among which the slices are dealt.
+SLICE, TASKS = 500, 384
 
 
 def sides(precision: int) -> tuple[int, int]:
@@ -125,15 +127,20 @@ def with_cells(centres: DataFrame, metres: float, precision: int) -> DataFrame:
     return c.withColumn("cell_y", F.explode(ys)).withColumn("cell_x", F.explode(xs))
 
 
-def radius_join(centres: DataFrame, points: DataFrame, metres: float, precision: int = 3, least: float = 0.0) -> DataFrame:
+def radius_join(centres: DataFrame, points: DataFrame, metres: float, precision: int = 3, least: float = 0.0, tasks: int = TASKS) -> DataFrame:
     """Pairs of a centre (``centre, lat, lng``) and a point (``id, lat, lng``) from ``least`` to ``metres`` apart, with ``distance``.
 
-    An equality join on cells, then the box, then the distance; a cell with many points is split by adaptive execution.
+    An equality join on cells, then the box, then the distance. Pairs may be many more than rows, so the work is dealt by pairs, not by
+    bytes: a cell's points are cut into slices of ``SLICE`` or so, each of which meets the cell's centres in one of many tasks.
     """
-    c = with_cells(centres.select("centre", "lat", "lng"), metres, precision)
+    c = with_cells(centres.select("centre", "lat", "lng").repartition(tasks, "centre"), metres, precision)
     p = points.select("id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"))
     p = p.where("p_lat is not null and p_lng is not null").withColumn("cell_x", cell_x(F.col("p_lng"), precision)).withColumn("cell_y", cell_y(F.col("p_lat"), precision))
-    met = c.join(p, ["cell_x", "cell_y"]).where(within_box(F.col("p_lat"), F.col("p_lng"), F.col("box")))
+    keys = ["cell_x", "cell_y", "slice"]
+    sizes = p.groupBy("cell_x", "cell_y").agg(F.ceil(F.count("*") / SLICE).alias("slices"))  # a row for each cell of the grid at most
+    p = p.join(sizes, ["cell_x", "cell_y"]).withColumn("slice", F.pmod(F.xxhash64("id"), "slices")).drop("slices")
+    c = c.join(sizes, ["cell_x", "cell_y"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    met = c.repartition(tasks, *keys).join(p.repartition(tasks, *keys).hint("shuffle_hash"), keys).where(within_box(F.col("p_lat"), F.col("p_lng"), F.col("box")))
     met = met.withColumn("distance", haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")))
     return met.where((F.col("distance") >= least) & (F.col("distance") <= metres)).select("centre", "id", "distance")
 
@@ -147,4 +154,4 @@ def nearby(points: DataFrame, lat: float, lng: float, km: float = 10, limit: int
     if types:
         points = points.where(F.col("type").isin(*types))
     centre = points.sparkSession.range(1).select(F.col("id").alias("centre"), F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"))
-    return radius_join(centre, points, km * 1000, precision).drop("centre").orderBy("distance", "id").limit(max(1, min(int(limit), 100)))
+    return radius_join(centre, points, km * 1000, precision, tasks=16).drop("centre").orderBy("distance", "id").limit(max(1, min(int(limit), 100)))

@@ -99,3 +99,12 @@ def test_equal_keys_are_hashed_once(spark):
     plan = bits._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("fnv1a_32") :]
     assert {r["bit"] for r in bits.collect()} == {(hashes.fnv1a(k, 32) + i * hashes.fnv1a(k + k, 32)) % 50 for k in (b"0", b"1", b"2") for i in range(7)}
+
+
+def test_pairs_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Small tables with many pairs are not joined in the task or two that read them, a crowded cell is cut, and no pair is lost."""
+    monkeypatch.setattr(geocells, "SLICE", 50)
+    p = spark.range(1200).select("id", (F.col("id") % 30 / 100.0).alias("lat"), (F.col("id") % 7 / 100.0).alias("lng")).coalesce(1)
+    met = geocells.radius_join(p.where("id % 20 = 0").withColumnRenamed("id", "centre"), p, 50_000.0, tasks=32)
+    got = met.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(got) >= 10 and sum(r["count"] for r in got) == 60 * 1200 == met.select("centre", "id").distinct().count()
